@@ -15,6 +15,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WORDY = np.zeros(256, bool)
+_WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Texts are hashed in runs of whole documents of about this many bytes, which bounds the scratch arrays.
 SLICE = 2 << 20
 
@@ -88,8 +90,8 @@ def slices(off: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
     return out
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end byte of each word, and each document's first word (one more at the end)."""
+def words(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end byte of each word, and each document's first word (one more at the end). signs: runs of signs are words of their own."""
     hashes, starts, ends, firsts, seen = [], [], [], [np.zeros(1, np.int64)], 0
     for a, b in slices(off):
         part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -102,6 +104,11 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.nda
         begins = solid & gap[:-2]
         begins[inner] = solid[inner]
         closes = solid & gap[2:]
+        if signs:
+            turn = np.flatnonzero(np.diff(_WORDY[part]))
+            turn = turn[solid[turn] & solid[turn + 1]]
+            closes[turn] = True
+            begins[turn + 1] = True
         closes[inner - 1] = solid[inner - 1]
         s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         hashes.append(ranges(prefix(_BYTE[part]), s, e))

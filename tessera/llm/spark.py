@@ -15,6 +15,8 @@ from tessera.llm import kernels as K
 
 #: Bytes of text in a packed block of documents; a longer document has a block of its own.
 BLOCK = 8 << 20
+#: Documents in a block, so that a number in the block takes 16 bits.
+IN_BLOCK = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, offs binary, z binary"
 
 
@@ -30,32 +32,38 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards(docs: DataFrame, each: int = 32 << 20) -> int:
+    """Shards for all texts: as many as shuffle partitions, or one for each so many bytes of text."""
+    size = docs.selectExpr("sum(octet_length(cast(text as string))) as n").first().n or 0
+    return max(parts(docs.sparkSession), -(-size // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def gather(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.Table]:
     """Batches of (doc_id, text) put together or cut to tables of about most bytes of text."""
-    held, size = [], 0
+    held, size, many = [], 0, 0
     for batch in batches:
         sizes = np.diff(K.utf8(batch.column(1))[1])
         at = 0
         while at < batch.num_rows:
             n = max(1 if not held else 0, int(np.searchsorted(np.cumsum(sizes[at:]), most - size, "right")))
-            n = min(n, batch.num_rows - at)
+            n = min(n, batch.num_rows - at, IN_BLOCK - many)
             if n:
                 held.append(batch.slice(at, n))
                 size += int(sizes[at : at + n].sum())
-                at += n
+                at, many = at + n, many + n
             if at < batch.num_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, many = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents. Null text is empty; rows with a null doc_id take no part."""
+def pack(docs: DataFrame, tag: str | None = None) -> DataFrame:
+    """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array. Null text is empty; rows with a null doc_id take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(1)
@@ -63,11 +71,18 @@ def pack(docs: DataFrame) -> DataFrame:
             raw, off = K.utf8(t.column(1))
             ids = t.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(pid << 24) | n], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw))))],
-                names=["block", "ids", "offs", "z"],
+                [pa.array([(pid << 24) | n], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw)))), *(pa.array([c.to_pylist()], pa.list_(pa.string())) for c in t.columns[2:])],
+                names=["block", "ids", "offs", "z", *t.column_names[2:]],
             )
 
-    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, BLOCK_SCHEMA)
+    more = [f"cast({tag} as string) tags"] if tag else []
+    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more).mapInArrow(run, BLOCK_SCHEMA + ", tags array<string>" * bool(tag))
+
+
+def settled(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return cut(blocks) if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")) else blocks
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
