@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import kernels as K
 
 #: Bytes of text in a packed block of documents; a longer document has a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Documents in a block, so that a number in the block takes 16 bits.
 IN_BLOCK = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, offs binary, z binary"
@@ -62,18 +64,26 @@ def gather(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def pack(docs: DataFrame, tag: str | None = None) -> DataFrame:
+def trim() -> None:
+    """Gives memory that arrays have left back to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pack(docs: DataFrame, tag: str | None = None, most: int = BLOCK) -> DataFrame:
     """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array. Null text is empty; rows with a null doc_id take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(1)
-        for n, t in enumerate(gather(batches)):
+        for n, t in enumerate(gather(batches, most)):
             raw, off = K.utf8(t.column(1))
             ids = t.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(pid << 24) | n], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw)))), *(pa.array([c.to_pylist()], pa.list_(pa.string())) for c in t.columns[2:])],
                 names=["block", "ids", "offs", "z", *t.column_names[2:]],
             )
+        trim()
 
     more = [f"cast({tag} as string) tags"] if tag else []
     return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more).mapInArrow(run, BLOCK_SCHEMA + ", tags array<string>" * bool(tag))
@@ -97,6 +107,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+    trim()
 
 
 def batch(schema: list[tuple[str, pa.DataType]], out: list[tuple]) -> pa.RecordBatch:

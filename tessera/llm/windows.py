@@ -27,7 +27,7 @@ from tessera.llm import spark as S
 U = np.uint64
 _AT = U((1 << 24) - 1)
 #: Symbols that a shard matches at once; segments with the same anchor always stay together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -202,9 +202,8 @@ def cover(docs: DataFrame, w: Windows, matcher: Matcher) -> DataFrame:
     Null text is empty; rows with a null doc_id take no part; rows repeating a doc_id count as the same document; an empty table
     gives no rows.
     """
-    spark = docs.sparkSession
-    blocks = S.cut(S.pack(docs.select("doc_id", "text")))
-    shards = max(S.parts(spark), blocks.count() // 4)
+    blocks = S.settled(S.pack(docs.select("doc_id", "text")), docs)
+    shards = S.shards(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())]
@@ -259,6 +258,8 @@ def cover(docs: DataFrame, w: Windows, matcher: Matcher) -> DataFrame:
             by.setdefault(r["shard"], []).append(r)
         for shard, rows in by.items():
             yield S.batch([("block", pa.int64()), ("shard", pa.int32()), ("bits", pa.binary())], [(b, shard, x) for b, x in _matched(w, matcher, rows)])
+        by.clear()
+        S.trim()
 
     sent = known.mapInArrow(ship, "shard int, block long, key binary, content binary, doc binary, place binary, count binary, text binary")
     hits = sent.repartitionById(shards, "shard").mapInArrow(match, "block long, shard int, bits binary")
