@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.plans import inventory, joins, reports, rules, totals
 
-
-def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"run_summary": run_summary}
-SQL = {"run_summary": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"}
+MODULES = (inventory, rules, joins, totals, reports)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
