@@ -48,7 +48,8 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, depth: int):
-        """text: symbols from 0 to alphabet - 1, run after run."""
+        """text: symbols from 0 to alphabet - 1, run after run; depth: 2 at least."""
+        assert depth > 1
         self.depth = depth
         n, runs = len(text), len(size)
         end = np.cumsum(size) + np.arange(runs)

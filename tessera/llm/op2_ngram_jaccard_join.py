@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,31 +54,51 @@ def _fingerprints(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a.view(np.int64), b.view(np.int64)
 
 
-def _tokens(blocks: DataFrame, shards: int, words: int, percent: int) -> DataFrame:
+def _fresh(fa: np.ndarray, fb: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of equal sets the one with the smallest id."""
+    order = np.lexsort((ids, size, fb, fa))
+    new = np.ones(len(ids), bool)
+    new[1:] = (fa[order][1:] != fa[order][:-1]) | (fb[order][1:] != fb[order][:-1]) | (size[order][1:] != size[order][:-1])
+    out = np.zeros(len(ids), bool)
+    out[order[new]] = True
+    return out
+
+
+def _of_text(words: int) -> Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, shingles and their number for each document of a block."""
+
+    def of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, raw, off = S.unpack(r)
+        return ids, *shingles(raw, off, words)
+
+    return of
+
+
+def _of_sets(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["hashes"], U), np.frombuffer(r["sizes"], np.int64)
+
+
+def _tokens(blocks: DataFrame, sets: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, percent: int, half: bool) -> DataFrame:
     """Tokens that could be in a prefix, dealt by hash; and for each block what it knows of its documents.
 
-    The common order puts the half of the tokens with a small hash first, by frequency, then the others by hash. So only that
-    half is counted, but for documents whose prefix is longer than their half. A token is 48 bits of the hash here: a clash costs
-    a vain comparison, as pairs are verified on all 64. Of equal sets in a block one is sent.
+    Tokens are ordered by frequency. half: those with a small hash come first, by frequency, then the others by hash, so that
+    only one half is counted, but for documents whose prefix is longer than their half. A token is 48 bits of the hash here: a
+    clash costs a vain comparison, as pairs are verified on all 64. Of equal sets in a block one is sent.
     """
     schema = [("shard", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("info", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            ids, raw, off = S.unpack(r)
-            h, size = shingles(raw, off, words)
+            ids, h, size = sets(r)
             fa, fb = _fingerprints(h, size)
-            order = np.lexsort((ids, size, fb, fa))
-            new = np.ones(len(ids), bool)
-            new[1:] = (fa[order][1:] != fa[order][:-1]) | (fb[order][1:] != fb[order][:-1]) | (size[order][1:] != size[order][:-1])
-            sends = np.zeros(len(ids), bool)
-            sends[order[new]] = True
+            sends = _fresh(fa, fb, size, ids)
             doc = np.repeat(np.arange(len(ids)), size)
-            half = np.bincount(doc[h >> U(63) == 0], minlength=len(ids))
+            first = h >> U(63) == 0 if half else np.ones(len(h), bool)
+            counted = np.bincount(doc[first], minlength=len(ids))
             rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            want = sends[doc] & ((h >> U(63) == 0) | (rank < prefix_length(size, percent)[doc]))
+            want = sends[doc] & (first | (rank < prefix_length(size, percent)[doc]))
             tokens = (h[want] & ~_LOW) | doc[want].astype(U)
-            info = np.stack([ids, size, half, fa, fb, sends.astype(np.int64)])
+            info = np.stack([ids, size, counted, fa, fb, sends.astype(np.int64)])
             shard = ((tokens >> U(16)) % U(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -112,26 +132,26 @@ def _frequent(tokens: DataFrame, shards: int) -> DataFrame:
     return tokens.repartitionById(shards, "shard").mapInArrow(run, "block long, tokens binary, freq binary, info binary")
 
 
-def _documents(frequent: DataFrame, percent: int) -> DataFrame:
+def _documents(frequent: DataFrame, percent: int, half: bool) -> DataFrame:
     """doc_id, block, n, fa, fb; and for documents that could have a partner: prefix tokens and their places, group key."""
     rows = frequent.groupBy("block").agg(F.max("info").alias("info"), F.collect_list(F.when(F.col("tokens").isNotNull(), F.struct("tokens", "freq"))).alias("shared"))
     names = ["doc_id", "block", "n", "fa", "fb", "ga", "gb", "tokens", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            ids, size, half, fa, fb, sends = np.frombuffer(r["info"], np.int64).reshape(6, -1)
+            ids, size, counted, fa, fb, sends = np.frombuffer(r["info"], np.int64).reshape(6, -1)
             t = np.concatenate([np.zeros(0, U), *(np.frombuffer(x["tokens"], U) for x in r["shared"])])
             freq = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x["freq"], np.uint32) for x in r["shared"])])
             doc, tok = (t & _LOW).astype(np.int64), t >> U(16)
-            first = tok >> U(47) == 0
+            first = tok >> U(47) == 0 if half else np.ones(len(tok), bool)
             freq = np.where(first, freq, 0)
             order = np.lexsort((tok, freq, ~first, doc))
             doc, tok, first = doc[order], tok[order], first[order]
             shared = np.bincount(doc[first], minlength=len(ids))
-            alone = half - shared  # tokens of the first half that no other document has; they come first
+            alone = counted - shared  # counted tokens that no other document has; they come first
             total = np.bincount(doc, minlength=len(ids))
             rank = np.arange(len(doc)) - np.repeat(np.cumsum(total) - total, total)
-            place = np.where(first, alone[doc] + rank, half[doc])
+            place = np.where(first, alone[doc] + rank, counted[doc])
             length = prefix_length(size, percent)
             keep = ~first | (place < length[doc])
             doc, tok, place = doc[keep], tok[keep], place[keep]
@@ -157,11 +177,12 @@ def _documents(frequent: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> DataFrame:
-    """a, b, votes: pairs of groups that share a token of their prefixes and could be similar enough by sizes and places.
+    """a, b: pairs of groups that share a token of their prefixes and could be similar enough by sizes and places.
 
-    groups: g, n, label, tokens, places. chains: only neighbours in a token's list; else all pairs with different labels.
+    groups: g, n, label, tokens, places. chains: in a token's list each is compared only with its neighbour and with the one that
+    has the fewest tokens of its own; else all pairs with different labels.
     """
-    schema = [("shard", pa.int32()), *((x, pa.binary()) for x in ("tokens", "g", "n", "label", "place"))]
+    schema = [("shard", pa.int32()), *((x, pa.binary()) for x in ("tokens", "g", "n", "label", "place", "own"))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,29 +191,31 @@ def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> D
             tok = np.concatenate([np.zeros(0, U), *toks])
             place = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in b.column(4).to_pylist())])
             g, n, label = (np.repeat(b.column(i).to_numpy(), many) for i in range(3))
+            own = np.repeat(np.array([np.frombuffer(x, np.int32).min() for x in b.column(4).to_pylist()], np.int32), many)  # tokens of its own come first
             shard = (tok % U(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-            yield S.batch(schema, [(s, *map(K.blob, (tok[by[x:y]], g[by[x:y]], n[by[x:y]], label[by[x:y]], place[by[x:y]]))) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
+            yield S.batch(schema, [(s, *map(K.blob, (tok[by[x:y]], g[by[x:y]], n[by[x:y]], label[by[x:y]], place[by[x:y]], own[by[x:y]]))) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
 
-    def pairs(tok, g, n, label, place) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((g, n, tok))
+    def pairs(tok, g, n, label, place, own) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((g, own, tok) if chains else (g, n, tok))
         tok, g, n, label, place = tok[order], g[order], n[order], label[order], place[order].astype(np.int64)
 
         def emit(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            ok = (label[i] != label[j]) & (g[i] != g[j]) & (100 * n[i] >= percent * n[j]) & (1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need)
+            ok = (label[i] != label[j]) & (g[i] != g[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
             a, b = np.minimum(g[i], g[j])[ok], np.maximum(g[i], g[j])[ok]
             o = np.lexsort((b, a))
             a, b = a[o], b[o]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(np.flatnonzero(new), len(a))))], names=["a", "b", "votes"])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
         same = tok[1:] == tok[:-1]
         if chains:
             i = np.flatnonzero(same)
-            yield emit(i, i + 1)
+            pivot = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(tok)), 0)) if len(tok) else i
+            yield emit(np.concatenate([i, pivot[i + 1]]), np.concatenate([i + 1, i + 1]))
             return
         begin = np.flatnonzero(np.append(True, ~same)) if len(tok) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(tok))
@@ -213,30 +236,40 @@ def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> D
         for r in S.rows(batches):
             by.setdefault(r["shard"], []).append(r)
         for own in by.values():
-            yield from pairs(*(np.concatenate([np.frombuffer(r[c], t) for r in own]) for c, t in (("tokens", U), ("g", np.int64), ("n", np.int64), ("label", np.int64), ("place", np.int32))))
+            yield from pairs(*(np.concatenate([np.frombuffer(r[c], t) for r in own]) for c, t in (("tokens", U), ("g", np.int64), ("n", np.int64), ("label", np.int64), ("place", np.int32), ("own", np.int32))))
 
-    dealt = groups.select("g", "n", "label", "tokens", "places").mapInArrow(deal, "shard int, tokens binary, g binary, n binary, label binary, place binary")
-    found = dealt.repartitionById(shards, "shard").mapInArrow(meet, "a long, b long, votes long")
-    return found.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    dealt = groups.select("g", "n", "label", "tokens", "places").mapInArrow(deal, "shard int, tokens binary, g binary, n binary, label binary, place binary, own binary")
+    found = dealt.repartitionById(shards, "shard").mapInArrow(meet, "a long, b long")
+    return found.distinct()
 
 
 def _sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """item, hashes for wanted (block, item)."""
+    """block, ids, sizes, hashes: the whole sets of wanted (block, item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
             ids, raw, off = S.unpack(r)
             own = np.flatnonzero(np.isin(ids, np.array(r["items"])))
-            if not len(own):
-                continue
+            own = own[np.unique(ids[own], return_index=True)[1]]
             size = np.diff(off)[own]
             h, many = shingles(raw[K.ragged(off[own], size)], np.concatenate([[0], np.cumsum(size)]), words)
-            at = np.concatenate([[0], np.cumsum(many)])
-            for a in range(0, len(own), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own[a : a + 256]]), pa.array([K.blob(h[at[i] : at[i + 1]]) for i in range(a, min(a + 256, len(own)))], pa.binary())], names=["item", "hashes"])
+            yield S.batch([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())], [(r["block"], K.blob(ids[own]), K.blob(many.astype(np.int64)), K.blob(h))])
 
     by_block = wanted.groupBy("block").agg(F.collect_list("item").alias("items"))
-    return blocks.join(by_block, "block").mapInArrow(run, "item long, hashes binary").dropDuplicates(["item"])
+    return by_block.join(blocks, "block", "left").mapInArrow(run, "block long, ids binary, sizes binary, hashes binary")
+
+
+def _each(sets: DataFrame) -> DataFrame:
+    """item, hashes from sets in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            ids, h, size = _of_sets(r)
+            at = np.concatenate([[0], np.cumsum(size)])
+            for a in range(0, len(ids), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256]), pa.array([K.blob(h[at[i] : at[i + 1]]) for i in range(a, min(a + 256, len(ids)))], pa.binary())], names=["item", "hashes"])
+
+    return sets.mapInArrow(run, "item long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,43 +294,41 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """doc_id, n_shingles, component_id for every document: links join documents whose sets of shingles are at least percent
     per cent similar; component_id is the smallest doc_id reachable.
 
-    Equal sets are one item. Items with the same prefix and size are one group; pairs of groups that share a token of their
-    prefixes are candidates, expanded to items and verified on whole sets. A first round compares only neighbours in the tokens'
-    lists; the second compares all candidates that aren't in one component yet, so no link between components is missed and a
+    Equal sets are one item. Documents whose prefix holds a token of their own only, and so can't have a partner, drop out before
+    whole sets are read. Items with the same prefix and size are one group; pairs of groups that share a token of their
+    prefixes are candidates, expanded to items and verified on whole sets. A first round compares only some neighbours in the tokens'
+    lists; a last one compares all candidates that aren't in one component yet, so no link between components is missed and a
     large group of near copies doesn't cost a comparison for each pair.
     Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and no links; rows with a null doc_id
     take no part; rows repeating a doc_id are compared like others; an empty table gives no rows.
     """
     blocks = S.settled(S.pack(docs.select("doc_id", "text")), docs)
     shards = S.shards(docs)
-    found = S.cut(_documents(_frequent(_tokens(blocks, shards, words, percent), shards), percent))
+    found = S.cut(_documents(_frequent(_tokens(blocks, _of_text(words), shards, percent, True), shards), percent, True))
     items = S.cut(found.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("item")))
-    open_ = found.where("tokens is not null").join(items, ["n", "fa", "fb"]).where("doc_id = item").dropDuplicates(["item"])
-    members = S.cut(open_.join(open_.groupBy("n", "ga", "gb").agg(F.min("item").alias("g")), ["n", "ga", "gb"]).select("item", "block", "n", "g", F.when(F.col("item") == F.col("g"), F.col("tokens")).alias("tokens"), F.when(F.col("item") == F.col("g"), F.col("places")).alias("places")))
+    # those that could have a partner are counted again, among themselves and with all their tokens
+    maybe = found.where("tokens is not null").join(items, ["n", "fa", "fb"]).where("doc_id = item").select("block", "item")
+    sets = S.cut(_sets(blocks, maybe, words))
+    again = S.cut(_documents(_frequent(_tokens(sets, _of_sets, shards, percent, False), shards), percent, False).where("tokens is not null").dropDuplicates(["doc_id"]))
+    members = again.withColumnRenamed("doc_id", "item").join(again.groupBy("n", "ga", "gb").agg(F.min("doc_id").alias("g")), ["n", "ga", "gb"])
+    own = F.col("item") == F.col("g")
+    members = S.cut(members.select("item", "n", "g", F.when(own, F.col("tokens")).alias("tokens"), F.when(own, F.col("places")).alias("places")))
     groups = members.where("tokens is not null").select("g", "n", "tokens", "places")
-    # first round: in each token's list a group is compared with its neighbours, of which it takes the two with most tokens in common; members with the first of their group
-    chain = _candidates(groups.withColumn("label", F.col("g")), shards, percent, True)
-    best = lambda c: chain.groupBy(c).agg(F.max(F.struct("votes", "b" if c == "a" else "a")).alias("m")).select(
-        F.least(F.col(c), F.col("m")["b" if c == "a" else "a"]).alias("a"), F.greatest(F.col(c), F.col("m")["b" if c == "a" else "a"]).alias("b")
-    )
-    pairs = S.cut(best("a").unionByName(best("b")).unionByName(members.where("item <> g").select(F.col("g").alias("a"), F.col("item").alias("b"))).distinct())
-    known = members.select("item", "block", "g")
-    side = lambda df, c: df.select(F.col(c).alias("item"))
-    sets = S.cut(_sets(blocks, side(pairs, "a").unionByName(side(pairs, "b")).distinct().join(known, "item"), words))
-    links = S.cut(_verified(pairs, sets, percent))
+    # first round: each group is compared with some others of its tokens' lists, members with the first of their group
+    pairs = S.cut(_candidates(groups.withColumn("label", F.col("g")), shards, percent, True).unionByName(members.where(~own).select(F.col("g").alias("a"), F.col("item").alias("b"))))
+    links = S.cut(_verified(pairs, _each(sets), percent))
     labels = components(links)
-    labelled = S.cut(known.join(labels.withColumnRenamed("v", "item"), "item", "left").select("item", "block", "g", F.coalesce("label", "item").alias("label")))
-    # second round: all pairs of groups, and pairs within a group, with members of different components
+    labelled = S.cut(members.select("item", "g").join(labels.withColumnRenamed("v", "item"), "item", "left").select("item", "g", F.coalesce("label", "item").alias("label")))
+    # last round: all pairs of groups, and pairs within a group, with members of different components
     spread = labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = groups.join(spread, "g").select("g", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("g") - 1).alias("label"), "tokens", "places")
-    more = _candidates(mixed, shards, percent, False).select("a", "b").unionByName(spread.where("lo < hi").select(F.col("g").alias("a"), F.col("g").alias("b")))
+    more = _candidates(mixed, shards, percent, False).unionByName(spread.where("lo < hi").select(F.col("g").alias("a"), F.col("g").alias("b")))
     to = lambda c: labelled.select(F.col("g").alias(c), F.col("item").alias(f"{c}_item"), F.col("label").alias(f"{c}_label"))
     more = more.join(to("a"), "a").join(to("b"), "b").where("a_label <> b_label").select(F.least("a_item", "b_item").alias("a"), F.greatest("a_item", "b_item").alias("b"))
     more = S.cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        wanted = side(more, "a").unionByName(side(more, "b")).distinct()
-        sets = sets.unionByName(_sets(blocks, wanted.join(sets.select("item"), "item", "left_anti").join(known.select("item", "block"), "item"), words))
-        labels = components(links.unionByName(S.cut(_verified(more, sets, percent))))
+    rest = S.cut(_verified(more, _each(sets), percent))
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
     return (
         found.select("doc_id", "n", "fa", "fb")
         .join(items.join(labels.withColumnRenamed("v", "item"), "item", "left").select("n", "fa", "fb", F.coalesce("label", "item").alias("label")), ["n", "fa", "fb"], "left")
