@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -16,7 +19,7 @@ from tessera.llm.windows import deal
 
 U = np.uint64
 #: Trusted documents a language that the model is trained on, and others that its quantiles are taken from. Both bound the model.
-TRAIN, CALIBRATE = 1000, 500
+TRAIN, CALIBRATE = 500, 400
 #: A document is rejected if its perplexity is more than MARGIN times this quantile of the trusted ones of its language.
 QUANTILE, MARGIN = 0.99, 1.25
 #: So many words of the language's usual perplexity are added to a document's own, as short texts say little.
@@ -26,8 +29,8 @@ BITS, PARTS = 27, 16
 _BOS = U(0x0123456789ABCDEF)
 
 
-def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word w: hashes of w, v, vw, uv, uvw, where u and v are the words before it in its document."""
+def before(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two words u and v before each word in its document."""
     n = len(h)
     v, u = np.full(n, _BOS, U), np.full(n, _BOS, U)
     v[1:], u[2:] = h[:-1], h[:-2]
@@ -35,87 +38,170 @@ def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     v[begin] = u[begin] = _BOS
     second = first[:-1][np.diff(first) > 1] + 1
     u[second] = _BOS
-    vw, uv = K.follow(v, h), K.follow(u, v)
-    return h, v, vw, uv, K.follow(uv, h)
+    return u, v
 
 
-def _counts(trusted: DataFrame) -> DataFrame:
-    """uvw, uv, vw, v, w, c: trigrams of trusted text, summed up within each block."""
+def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word w: hashes of w, v, vw, uv, uvw."""
+    u, v = before(h, first)
+    uv = K.follow(u, v)
+    return h, v, K.follow(v, h), uv, K.follow(uv, h)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _packed(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return zstandard.ZstdCompressor(1).compress(out.getvalue())
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))))
+
+
+def _contexts(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, each n-gram's context, the totals of the counts, and how many n-grams are seen once, twice and more often."""
+    keys, at = np.unique(context, return_inverse=True)
+    total = np.bincount(at, c, len(keys)).astype(np.int64)
+    often = np.stack([np.bincount(at, m, len(keys)) for m in (c == 1, c == 2, c > 2)]).astype(np.int32)
+    return keys, at.astype(np.int32), total, often
+
+
+def _counts(trusted: DataFrame, shards: int) -> DataFrame:
+    """shard, data: counts of all n-grams of trusted text with the same middle word v, with their contexts.
+
+    Trigrams uvw are dealt by v, so a shard sees all of uvw, uv and v, and in how many ways each vw is preceded; of single words w
+    it has how many of its own v stand before.
+    """
+    schema = [("shard", pa.int32()), *((n, pa.binary()) for n in "uvwc")]
+
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
             _, raw, off = S.unpack(r)
             h, _, _, first = K.words(raw, off, signs=True)
-            w, v, vw, uv, uvw = ngrams(h, first)
-            _, at, c = np.unique(uvw, return_index=True, return_counts=True)
-            for a in range(0, len(at), 100_000):
-                own = at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[own].view(np.int64)) for x in (uvw, uv, vw, v, w)), pa.array(c[a : a + 100_000])], names=["uvw", "uv", "vw", "v", "w", "c"])
+            u, v = before(h, first)
+            _, at, c = np.unique(K.follow(K.follow(u, v), h), return_index=True, return_counts=True)
+            yield S.batch(schema, [(s, *map(K.blob, (u[at[own]], v[at[own]], h[at[own]], c[own].astype(np.int32)))) for s, own in deal(K.mix(v[at]), shards)])
 
-    keys = ["uvw", "uv", "vw", "v", "w"]
-    return S.pack(trusted).mapInArrow(run, "uvw long, uv long, vw long, v long, w long, c long").groupBy(*keys).agg(F.sum("c").alias("c"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[dict]] = {}
+        for r in S.rows(batches):
+            by.setdefault(r["shard"], []).append(r)
+        for shard, rows in by.items():
+            u, v, w, c = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("u", U), ("v", U), ("w", U), ("c", np.int32)))
+            k3, first, inverse = np.unique(K.follow(K.follow(u, v), w), return_index=True, return_inverse=True)
+            c3 = np.bincount(inverse, c).astype(np.int32)
+            u, v, w = u[first], v[first], w[first]
+            k2, first, c2 = np.unique(K.follow(v, w), return_index=True, return_counts=True)
+            x3, at3, t3, o3 = _contexts(K.follow(u, v), c3)
+            x2, at2, t2, o2 = _contexts(v[first], c2)
+            w1, c1 = np.unique(w[first], return_counts=True)
+            yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(k3=k3, c3=c3, x3=x3, at3=at3, t3=t3, o3=o3, k2=k2, c2=c2.astype(np.int32), x2=x2, at2=at2, t2=t2, o2=o2, w=w1, c1=c1.astype(np.int32)))])
 
+    return S.pack(trusted).mapInArrow(deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
 
-def _discounts(counts: DataFrame, c: str) -> list[float]:
-    """Discounts of n-grams seen once, twice and more often."""
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col(c) == i) for i in range(1, 5))).first()
-    if not (n1 and n2 and n3):
-        return [0.5, 0.75, 0.9]  # too few to tell
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(i - (i + 1) * y * b / a, 0.1), float(i)) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
 
+def _words(counts: DataFrame, shards: int) -> DataFrame:
+    """shard, data: single words and in how many ways each is preceded, over all shards."""
 
-def _discounted(c: str, d: list[float]) -> Column:
-    return F.col(c) - F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            d = _unpacked(r["data"])
+            yield S.batch([("shard", pa.int32()), ("w", pa.binary()), ("c", pa.binary())], [(s, K.blob(d["w"][at]), K.blob(d["c1"][at])) for s, at in deal(d["w"], shards)])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[dict]] = {}
+        for r in S.rows(batches):
+            by.setdefault(r["shard"], []).append(r)
+        for shard, rows in by.items():
+            w, inverse = np.unique(np.concatenate([np.frombuffer(r["w"], U) for r in rows]), return_inverse=True)
+            yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(w=w, c=np.bincount(inverse, np.concatenate([np.frombuffer(r["c"], np.int32) for r in rows])).astype(np.int64)))])
 
-def _context(counts: DataFrame, by: list[str], c: str, d: list[float]) -> DataFrame:
-    """For each context the total of its counts and the mass that is left for the lower order."""
-    total = F.sum(c)
-    left = (F.count_if(F.col(c) == 1) * d[0] + F.count_if(F.col(c) == 2) * d[1] + F.count_if(F.col(c) > 2) * d[2]) / total
-    return counts.groupBy(*by).agg(total.alias("total"), left.alias("g"))
+    return counts.mapInArrow(deal_out, "shard int, w binary, c binary").repartitionById(shards, "shard").mapInArrow(add, "shard int, data binary")
 
 
-def train(trusted: DataFrame) -> tuple[DataFrame, float]:
-    """key, p, g of every n-gram up to trigrams: its discounted probability after its context, and as a context the mass it leaves; and the probability of an unseen word.
+def _often(rows: DataFrame, name: str) -> list[int]:
+    """How many n-grams are seen once, twice, three and four times, how many there are, and the sum of their counts."""
 
-    Lower orders count how many different words stand before. An empty table gives no rows.
-    """
-    three = S.cut(_counts(trusted))
-    two = S.cut(three.groupBy("vw", "v", "w").agg(F.count("*").alias("c")))
-    one = S.cut(two.groupBy("w").agg(F.count("*").alias("c")))
-    d3, d2, d1 = _discounts(three, "c"), _discounts(two, "c"), _discounts(one, "c")
-    c3, c2 = _context(three, ["uv"], "c", d3), _context(two, ["v"], "c", d2)
-    base = _context(one, [], "c", d1).first()
-    if base.total is None:
-        return one.select(F.col("w").alias("key"), F.lit(0.0).alias("p"), F.lit(0.0).alias("g")), 0.5
-    none = F.lit(None).cast("double")
-    rows = three.join(c3, "uv").select(F.col("uvw").alias("key"), (_discounted("c", d3) / F.col("total")).alias("p"), none.alias("g"))
-    rows = rows.unionByName(two.join(c2, "v").select(F.col("vw").alias("key"), (_discounted("c", d2) / F.col("total")).alias("p"), none.alias("g")))
-    rows = rows.unionByName(one.select(F.col("w").alias("key"), (_discounted("c", d1) / base.total).alias("p"), none.alias("g")))
-    rows = rows.unionByName(c3.select(F.col("uv").alias("key"), none.alias("p"), "g")).unionByName(c2.select(F.col("v").alias("key"), none.alias("p"), "g"))
-    words = one.count() + 1
-    return S.cut(rows.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g"))), float(base.g) / words
-
-
-def _filter(model: DataFrame) -> Broadcast:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            c = _unpacked(r["data"])[name]
+            yield S.batch([("n", pa.list_(pa.int64()))], [([*(int((c == i).sum()) for i in range(1, 5)), len(c), int(c.sum())],)])
+
+    got = rows.mapInArrow(run, "n array<long>").agg(*(F.sum(F.col("n")[i]) for i in range(6))).first()
+    return [int(x or 0) for x in got]
+
+
+def _discounts(often: list[int]) -> np.ndarray:
+    """Discounts of n-grams seen once, twice and more often."""
+    n1, n2, n3, n4 = often[:4]
+    if not (n1 and n2 and n3):
+        return np.array([0.5, 0.75, 0.9])  # too few to tell
+    y = n1 / (n1 + 2 * n2)
+    return np.array([min(max(i - (i + 1) * y * b / a, 0.1), float(i)) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)])
+
+
+@dataclass
+class Model:
+    """Count tables in shards (kind 'grams' and 'words'), discounts by order, the sum of the words' counts, and an unseen word's probability."""
+
+    tables: DataFrame
+    d3: np.ndarray
+    d2: np.ndarray
+    d1: np.ndarray
+    total: int
+    unseen: float
+
+    def probabilities(self) -> Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """From a row of tables: keys of n-grams, their discounted probability after their context, and the mass that they leave as a context (nan where they have none)."""
+        d3, d2, d1, total = self.d3, self.d2, self.d1, self.total
+
+        def of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = _unpacked(r["data"])
+            less = lambda c, discount: c - discount[np.minimum(c, 3) - 1]
+            if r["kind"] == "words":
+                return d["w"], less(d["c"], d1) / total, np.full(len(d["w"]), np.nan)
+            p3, p2 = less(d["c3"], d3) / d["t3"][d["at3"]], less(d["c2"], d2) / d["t2"][d["at2"]]
+            g3, g2 = d3 @ d["o3"] / d["t3"], d2 @ d["o2"] / d["t2"]
+            none = np.full(len(g3) + len(g2), np.nan)
+            return np.concatenate([d["k3"], d["k2"], d["x3"], d["x2"]]), np.concatenate([p3, p2, none]), np.concatenate([np.full(len(p3) + len(p2), np.nan), g3, g2])
+
+        return of
+
+
+def train(trusted: DataFrame) -> Model:
+    """An interpolated modified Kneser-Ney model of trigrams; lower orders count how many different words stand before."""
+    shards = S.parts(trusted.sparkSession)
+    grams = S.cut(_counts(trusted, shards))
+    words = S.cut(_words(grams, shards))
+    o1 = _often(words, "c")
+    d1 = _discounts(o1)
+    left = d1 @ [o1[0], o1[1], o1[4] - o1[0] - o1[1]] / o1[5] if o1[5] else 1.0
+    kind = lambda df, k: df.select("shard", "data", F.lit(k).alias("kind"))
+    return Model(kind(grams, "grams").unionByName(kind(words, "words")), _discounts(_often(grams, "c3")), _discounts(_often(grams, "c2")), d1, o1[5], float(left) / (o1[4] + 1))
+
+
+def _filter(model: Model) -> Broadcast:
     """A bit for each hash of BITS bits that the model has; its size doesn't depend on the model."""
-    part = 1 << (BITS - PARTS.bit_length() + 1)
+    part, of = 1 << (BITS - PARTS.bit_length() + 1), model.probabilities()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {}
-        for b in batches:
-            at = (b.column(0).to_numpy().view(U) >> U(64 - BITS)).astype(np.int64)
-            for p in np.unique(at // part).tolist():
-                bits.setdefault(p, np.zeros(part, bool))[at[at // part == p] % part] = True
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            at = np.unique((of(r)[0] >> U(64 - BITS)).astype(np.int64))
+            cuts = np.searchsorted(at, np.arange(PARTS + 1) * part)
+            yield S.batch([("p", pa.int32()), ("at", pa.binary())], [(p, K.blob((at[a:b] % part).astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for r in S.rows(batches):
+            bits.setdefault(r["p"], np.zeros(part, bool))[np.frombuffer(r["at"], np.uint32)] = True
         for p, x in bits.items():
             yield S.batch([("p", pa.int32()), ("bits", pa.binary())], [(p, K.blob(np.packbits(x)))])
 
-    rows = model.select("key", F.shiftrightunsigned("key", 64 - PARTS.bit_length() + 1).cast("int").alias("p")).repartitionById(PARTS, "p").select("key").mapInArrow(run, "p int, bits binary").collect()
+    rows = model.tables.mapInArrow(deal_out, "p int, at binary").repartitionById(PARTS, "p").mapInArrow(gather, "p int, bits binary").collect()
     out = np.zeros((PARTS, part // 8), np.uint8)
     for r in rows:
         out[r.p] |= np.frombuffer(r.bits, np.uint8)
-    return model.sparkSession.sparkContext.broadcast(out.reshape(-1))
+    return model.tables.sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
 def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -123,7 +209,7 @@ def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def perplexity(docs: DataFrame, model: DataFrame, unseen: float, tag: str = "lang") -> DataFrame:
+def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
     """doc_id, tag, n_words, bits: length and negative log2 probability of every document.
 
     The n-grams of each block of documents that the filter lets through meet the shards of the count table, each once for a
@@ -131,8 +217,7 @@ def perplexity(docs: DataFrame, model: DataFrame, unseen: float, tag: str = "lan
     """
     spark = docs.sparkSession
     blocks = S.settled(S.pack(docs.select("doc_id", "text", tag), tag), docs)
-    shards, bits = S.parts(spark), _filter(model)
-    model = S.cut(model.repartition(shards, "key"))
+    shards, bits, of, unseen = S.parts(spark), _filter(model), model.probabilities(), model.unseen
 
     def looked_up(r: dict) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
         """n-grams of a block in five columns, which of them the filter knows, and those once each."""
@@ -149,8 +234,8 @@ def perplexity(docs: DataFrame, model: DataFrame, unseen: float, tag: str = "lan
                 yield S.batch([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("g", pa.binary())], [(s, r["block"], K.blob((keys[at] >> U(5)).astype(np.uint32)), None, None) for s, at in deal(keys, shards)])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, p, g = b.column(0).to_numpy().view(U), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        for r in S.rows(batches):
+            keys, p, g = of(r)
             yield S.batch([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("g", pa.binary())], [(s, None, K.blob((keys[at] >> U(5)).astype(np.uint32)), K.blob(p[at].astype(np.float32)), K.blob(g[at].astype(np.float32))) for s, at in deal(keys, shards)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +244,12 @@ def perplexity(docs: DataFrame, model: DataFrame, unseen: float, tag: str = "lan
             (known if r["block"] is None else asked).append(r)
         for shard in {r["shard"] for r in asked}:
             own = [r for r in known if r["shard"] == shard]
-            keys = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["keys"], np.uint32) for r in own)])
-            order = np.argsort(keys, kind="stable")
-            keys = np.append(keys[order], np.uint32(0xFFFFFFFF))
-            with np.errstate(divide="ignore"):
-                p, g = (np.append(np.log2(np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[c], np.float32) for r in own)])[order]), np.nan).astype(np.float16) for c in ("p", "g"))
+            keys, inverse = np.unique(np.concatenate([np.array([0xFFFFFFFF], np.uint32), *(np.frombuffer(r["keys"], np.uint32) for r in own)]), return_inverse=True)
+            p, g = np.full(len(keys), np.nan, np.float16), np.full(len(keys), np.nan, np.float16)
+            for name, x in (("p", p), ("g", g)):
+                value = np.concatenate([np.full(1, np.nan, np.float32), *(np.frombuffer(r[name], np.float32) for r in own)])
+                fine = ~np.isnan(value)
+                x[inverse[fine]] = np.log2(value[fine])
             out = []
             for r in asked:
                 if r["shard"] == shard:
@@ -176,7 +262,7 @@ def perplexity(docs: DataFrame, model: DataFrame, unseen: float, tag: str = "lan
             yield S.batch([("block", pa.int64()), ("shard", pa.int32()), ("pg", pa.binary())], out)
 
     schema = "shard int, block long, keys binary, p binary, g binary"
-    answers = blocks.mapInArrow(ask, schema).unionByName(model.mapInArrow(table, schema)).repartitionById(shards, "shard").mapInArrow(answer, "block long, shard int, pg binary")
+    answers = blocks.mapInArrow(ask, schema).unionByName(model.tables.mapInArrow(table, schema)).repartitionById(shards, "shard").mapInArrow(answer, "block long, shard int, pg binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pg")).alias("answers"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +304,7 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, train_docs: int = TR
     ranked = hashed.withColumn("nr", nr).where(F.col("nr") <= max(3 * calibrate_docs, 3 * train_docs // 2))
     chosen = S.cut(ranked.where((held_out & (F.col("nr") <= 3 * calibrate_docs)) | (~held_out & (F.col("nr") <= 3 * train_docs // 2))).select("doc_id", held_out.alias("held_out")))
     sample = docs.join(F.broadcast(chosen.where("not held_out").select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
-    model, unseen = train(S.cut(sample.repartition(S.parts(docs.sparkSession) // 4 + 1, "doc_id")))
-    scored = perplexity(docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), model, unseen).withColumnRenamed("tag", "lang")
+    scored = perplexity(docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), train(sample)).withColumnRenamed("tag", "lang")
     held = scored.join(F.broadcast(chosen.where("held_out").select("doc_id").distinct()), "doc_id", "left_semi").where("n_words > 0").withColumn("each", F.col("bits") / F.col("n_words"))
     usual = held.groupBy("lang").agg(F.median("each").alias("usual"))
     every = F.median("each").alias("usual")
