@@ -93,3 +93,8 @@ def strict_number(text: Column, low: float, high: float) -> Column:
 def reasons_text(reason_counts: Column) -> Column:
     """'reason=count' in order of reasons, from an array of struct(reason, n)."""
     return F.array_join(F.transform(F.array_sort(reason_counts), lambda s: F.concat(s["reason"], F.lit("="), s["n"].cast("string"))), "; ")
+
+
+def tail(text: Column, n: int) -> Column:
+    """struct(text, truncated): the last n signs."""
+    return F.struct(F.right(text, F.lit(n)).alias("text"), (F.length(text) > n).alias("truncated"))

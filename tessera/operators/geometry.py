@@ -56,3 +56,11 @@ def extent(cells: DataFrame, sizes_: DataFrame, start: str, end: str) -> DataFra
 
 def placement_area(x0: str, y0: str, x1: str, y1: str) -> Column:
     return sizes.bbox_area(*(F.col(c) for c in (x0, y0, x1, y1)))
+
+
+def bounded_views(regions: DataFrame, by: str, page: str, order: str, pages: int = 100, most: int = 500) -> DataFrame:
+    """The first so many regions of the first so many pages of each document; both are what a preview may show."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(page, order))
+    return regions.where(F.col(page) <= pages).withColumn("view", nth).where(F.col("view") <= most)

@@ -235,3 +235,10 @@ def workbook_protection(parts: DataFrame) -> DataFrame:
         F.bool_or(F.col("type").endswith("sheet.main+xml")).alias("workbook"),
     )
     return rows.select("doc", first_match([(~F.coalesce("workbook", F.lit(False)), "not_a_workbook"), (F.col("macro"), "macros"), (F.col("signed"), "signed"), (F.col("cell_image"), "cell_image_formula")], "").alias("reason"))
+
+
+def output_recipe(path: Column, sample_rate: Column) -> Column:
+    """struct(muxer, encoder, codec, sample_rate) for a video's suffix, null for an unknown one; sample rates are at most 48 kHz."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    look = lambda i: F.try_element_at(F.create_map(*(F.lit(x) for k, v in CONTAINERS.items() for x in (k, v[i]))), suffix)
+    return F.when(look(1).isNotNull(), F.struct(look(1).alias("muxer"), look(2).alias("encoder"), look(3).alias("codec"), F.least(sample_rate, F.lit(48000)).alias("sample_rate")))

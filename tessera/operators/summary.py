@@ -92,3 +92,16 @@ def unchanged(before: DataFrame, after: DataFrame, key: str, columns: Sequence[s
     for c in columns:
         equal = equal & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return pairs.agg(F.coalesce(F.bool_and(equal & F.col(f"a.{columns[0]}").isNotNull() & F.col(f"b.{columns[0]}").isNotNull()), F.lit(True)).alias("same"))
+
+
+def used_codes(rows: DataFrame, by: Sequence[str], code: str) -> DataFrame:
+    """by and the sorted distinct codes: a group holds at most as many as its alphabet has."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(code)).alias("codes"))
+
+
+def within_budget(rows: DataFrame, by: Sequence[str], costs: dict[str, int]) -> DataFrame:
+    """Rows of the groups whose summed costs all stay within their limits; groups beyond are left out as a whole, before any work is done on them."""
+    over = F.lit(False)
+    for c, most in costs.items():
+        over = over | (F.sum(c) > most)
+    return rows.join(rows.groupBy(*by).agg(over.alias("_over")).where("_over").select(*by), list(by), "left_anti")

@@ -177,7 +177,34 @@ def strict_numbers(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(text.strict_number(t, 0, 40)).alias("valid"), F.sum(text.strict_number(t, 0, 40)).cast("double").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (run_summary, null_poisoned_totals, grand_total, status_histogram, outcome_counts, baseline_unchanged, quality_stats, reason_histogram_text, placement_max_min, scan_ratio, largest_placement, visible_text, required_pixels, tile_difference, even_tiles, grid_extent, fit_box_sizes, effective_dpi, json_probe, isclose_check, distinct_desc, path_safety, diagnostics_validity, elapsed_text, video_timeout, strict_numbers)}
+def used_codes(spark, sf_dir):
+    out = summary.used_codes(load(spark, sf_dir, "events").withColumn("code", F.from_json("props", "k int")["k"] % 10), ["event_type"], "code")
+    return out.select("event_type", F.array_join("codes", ",").alias("codes"))
+
+
+def within_budget(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice").alias("bytes"), F.lit(1).alias("n"))
+    return summary.within_budget(rows, ["l_orderkey"], {"bytes": 10_000_000, "n": 5}).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def bounded_views(spark, sf_dir):
+    return geometry.bounded_views(load(spark, sf_dir, "conversations").withColumn("page", F.col("turn") + 1), "conv_id", "page", "role", 4, 3).select("conv_id", "turn", F.col("view").cast("bigint").alias("view"))
+
+
+def output_recipe(spark, sf_dir):
+    from tessera.operators import rules
+
+    path = F.concat(F.lit("v"), F.get(F.array(*map(F.lit, (".MP4", ".mkv", ".avi"))), (F.col("event_id") % 3).cast("int")))
+    r = rules.output_recipe(path, (F.col("event_id") * 10).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", r["encoder"].alias("encoder"), r["codec"].alias("codec"), r["sample_rate"].alias("sample_rate"))
+
+
+def log_tail(spark, sf_dir):
+    t = text.tail(F.col("text"), 500)
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(t["text"], 256).alias("tail"), t["truncated"].alias("truncated"))
+
+
+QUERIES = {f.__name__: f for f in (run_summary, null_poisoned_totals, grand_total, status_histogram, outcome_counts, baseline_unchanged, quality_stats, reason_histogram_text, placement_max_min, scan_ratio, largest_placement, visible_text, required_pixels, tile_difference, even_tiles, grid_extent, fit_box_sizes, effective_dpi, json_probe, isclose_check, distinct_desc, path_safety, diagnostics_validity, elapsed_text, video_timeout, strict_numbers, used_codes, within_budget, bounded_views, output_recipe, log_tail)}
 
 _C = "CAST(round_even({0} * 100, 0) AS BIGINT)"
 SQL = {
@@ -254,6 +281,16 @@ SELECT l_orderkey, count(DISTINCT part) = count(*) AND len(list_filter(coalesce(
 WITH s AS (SELECT o_orderkey, floor(o_orderkey / 7 * 10) / 10 AS s FROM orders)
 SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%dm %ds', CAST(floor(s) AS BIGINT) // 60, CAST(floor(s) AS BIGINT) % 60) END AS elapsed FROM s""",
     "video_timeout": "SELECT o_orderkey, least(14400.0::DOUBLE, greatest(600.0::DOUBLE, 60.0::DOUBLE + (o_orderkey % 1000) * 20.0::DOUBLE)) AS seconds, CAST(ceil((o_orderkey % 600 + 0.5::DOUBLE) * 200 / 72) * ceil(842.0::DOUBLE * 200 / 72) AS BIGINT) AS pixels FROM orders",
+    "used_codes": """
+WITH c AS (SELECT DISTINCT event_type, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events)
+SELECT event_type, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS codes FROM c GROUP BY 1""",
+    "within_budget": f"""
+WITH g AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum({_C.format('l_extendedprice')}) <= 10000000 AND count(*) <= 5)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM g)""",
+    "bounded_views": "SELECT conv_id, turn, view FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS view FROM conversations WHERE turn < 4) WHERE view <= 3",
+    "output_recipe": """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'aac' WHEN 1 THEN 'libopus' END AS encoder, CASE event_id % 3 WHEN 0 THEN 'aac' WHEN 1 THEN 'opus' END AS codec, CASE WHEN event_id % 3 < 2 THEN CAST(least(event_id * 10, 48000) AS INTEGER) END AS sample_rate FROM events""",
+    "log_tail": "SELECT doc_id, sha256(right(text, 500)) AS tail, length(text) > 500 AS truncated FROM documents",
     "strict_numbers": """
 WITH r AS (SELECT l_returnflag, CASE WHEN l_linenumber % 3 < 2 THEN CAST(CAST(l_quantity AS INT) || '.' || l_linenumber AS DECIMAL(18, 6)) END AS v FROM lineitem)
 SELECT l_returnflag, count(v) FILTER (v <= 40) AS valid, CAST(sum(v) FILTER (v <= 40) AS DOUBLE) AS total FROM r GROUP BY 1""",

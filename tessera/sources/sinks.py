@@ -119,3 +119,25 @@ def comparison_page(rows: DataFrame, title: str, limit: int = 500) -> str:
     body = json.dumps(data, default=str, ensure_ascii=True).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
     head = title.replace("&", "&amp;").replace("<", "&lt;")
     return f"<!doctype html><meta charset=utf-8><title>{head}</title><h1>{head}</h1><pre id=o></pre><script>o.textContent=JSON.stringify({body},null,1)</script>"
+
+
+def publish_file(spark: SparkSession, source: str, target: str, sha256: str | None = None) -> str:
+    """Copies one file: staged beside its target, read back, compared by digest, then renamed into place. Gives the digest."""
+    digest = lambda p: spark.read.format("binaryFile").load(p).select(F.sha2("content", 256)).first()[0]
+    want = digest(source)
+    if sha256 is not None and want != sha256:
+        raise ValueError(f"{source} isn't what was expected")
+    staged = f"{target}.{uuid.uuid4().hex}.part"
+    (from_fs, from_path), (to_fs, to_path), (_, final) = _fs(spark, source), _fs(spark, staged), _fs(spark, target)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, from_path, to_fs, to_path, False, spark.sparkContext._jsc.hadoopConfiguration())
+        if digest(staged) != want or digest(source) != want:
+            raise ValueError(f"{source} changed while it was copied")
+        if to_fs.exists(final):
+            to_fs.delete(final, False)
+        if not to_fs.rename(to_path, final):
+            raise OSError(f"{target} could not be written")
+    finally:
+        if to_fs.exists(to_path):
+            to_fs.delete(to_path, False)
+    return want

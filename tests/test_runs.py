@@ -168,3 +168,13 @@ def test_ordinal_differences(spark):
     b = spark.createDataFrame([(1, 1, 1.005), (1, 2, 2.5), (1, 3, 3.0)], "doc int, o int, x double")
     assert sorted((r.ordinal, r.code) for r in reconcile.ordinal_differences(a, b, ["doc"], ["o"], {"x": 0.01}).collect()) == [(2, "x"), (3, "only_right")]
     assert reconcile.same_rows(a, a.repartition(2)).count() == 0 and F is not None
+
+
+def test_publish_file(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"content")
+    sha = sinks.publish_file(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert (tmp_path / "b").read_bytes() == b"content" and len(sha) == 64
+    (tmp_path / "a").write_bytes(b"other")
+    with pytest.raises(ValueError, match="expected"):
+        sinks.publish_file(spark, str(tmp_path / "a"), str(tmp_path / "b"), sha)
+    assert (tmp_path / "b").read_bytes() == b"content" and not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
