@@ -299,9 +299,12 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, train_docs: int = TR
     documents with words stay. An empty table gives no rows.
     """
     hashed = docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("doc_id").alias("hash"))
-    nr = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    most = max(3 * calibrate_docs, 3 * train_docs // 2)
+    nr = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
     held_out = F.col("nr") % 3 == 0
-    ranked = hashed.withColumn("nr", nr).where(F.col("nr") <= max(3 * calibrate_docs, 3 * train_docs // 2))
+    # the smallest of each part first, so that one language's rows never meet in one task as a whole
+    parted = hashed.withColumn("part", F.pmod("hash", F.lit(61))).withColumn("nr", nr("lang", "part")).where(F.col("nr") <= most)
+    ranked = parted.withColumn("nr", nr("lang")).where(F.col("nr") <= most)
     chosen = S.cut(ranked.where((held_out & (F.col("nr") <= 3 * calibrate_docs)) | (~held_out & (F.col("nr") <= 3 * train_docs // 2))).select("doc_id", held_out.alias("held_out")))
     sample = docs.join(F.broadcast(chosen.where("not held_out").select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
     scored = perplexity(docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), train(sample)).withColumnRenamed("tag", "lang")

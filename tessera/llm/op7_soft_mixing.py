@@ -18,7 +18,7 @@ TRAIN = 4000
 BITS, RARE = 16, 5
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
-STEPS, EXACT = 60, 1e-9
+STEPS, EXACT = 60, 1e-7
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, classes: int, rou
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], train_docs: int = TRAIN) -> DataFrame:
     """doc_id, n_tokens (words), p: the posterior of each domain for every document, in the order of domains."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     known = labelled.where(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     have = docs.where("doc_id is not null").select("doc_id").distinct()
     chosen = S.cut(known.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))  # at most train_docs rows
@@ -95,8 +95,9 @@ def rates(scored: DataFrame, targets: list[float], budget: float = 1.0, steps: i
     """A column with the rate of each row of scored (n_tokens, p), and what the expected shares are then.
 
     The rates r >= 0 minimise the squared distance of sum(r * n_tokens * p) from the targets, times budget and all tokens, in
-    the metric in which one step would be exact without the bound; they start at 1 and move by projected gradients. A step needs
-    only one residual for each domain, so a row's rate follows from the residuals so far and no state is kept by row.
+    the metric in which one step would be exact without the bound; they start at 1 and move by projected gradients with
+    momentum. A step needs only one residual for each domain, so a row's rate follows from the residuals so far and no state is
+    kept by row.
     """
     dims = len(targets)
     mass = lambda *cols: [F.sum(F.col("n_tokens") * c) for c in cols]
@@ -111,14 +112,24 @@ def rates(scored: DataFrame, targets: list[float], budget: float = 1.0, steps: i
             gram[i, j] = gram[j, i] = next(it) / total
     inverse = np.linalg.pinv(gram, hermitian=True)
     goal, history = budget * np.array(targets), []
-    rate = F.lit(1.0)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))  # the rate, and the point at which the next gradient is taken
+
+    def step(s: Column, g: Column) -> Column:
+        r = F.greatest(F.lit(0.0), s["y"] - sum((p[i] * g[i] for i in range(1, dims)), p[0] * g[0]))
+        return F.struct(r.alias("r"), (r + g[dims] * (r - s["r"])).alias("y"))
+
+    state, momentum = start, 1.0
     for _ in range(steps):
-        now = np.array([x or 0.0 for x in scored.withColumn("rate", rate).agg(*mass(*(F.col("rate") * x for x in p))).first()]) / total
+        sums = scored.withColumn("s", state).agg(*mass(*(F.col(f"s.{at}") * x for at in "ry" for x in p))).first()
+        now, ahead = (np.array([x or 0.0 for x in part]) / total for part in (sums[:dims], sums[dims:]))
         if np.abs(now - goal).max() < EXACT:
             break
-        history.append(inverse @ (now - goal))
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        history.append([*(inverse @ (ahead - goal)), (momentum - 1) / following])
+        momentum = following
         moves = F.array(*(F.array(*map(F.lit, map(float, g))) for g in history))
-        rate = F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((p[i] * g[i] for i in range(1, dims)), p[0] * g[0])))
+        state = F.aggregate(moves, start, step)
+    rate = state["r"]
     return rate, now.tolist()
 
 

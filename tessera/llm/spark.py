@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -72,15 +73,20 @@ def trim() -> None:
 
 
 def pack(docs: DataFrame, tag: str | None = None, most: int = BLOCK) -> DataFrame:
-    """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array. Null text is empty; rows with a null doc_id take no part."""
+    """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array.
+
+    A block's number is a hash of its place and ids, so a block that came out otherwise would never pass for the same one.
+    Null text is empty; rows with a null doc_id take no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(1)
+        pid, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(3)
         for n, t in enumerate(gather(batches, most)):
             raw, off = K.utf8(t.column(1))
             ids = t.column(0).to_numpy()
+            name = hashlib.blake2b(K.blob(np.array([pid, n])) + K.blob(ids.astype(np.int64)) + K.blob(off), digest_size=8).digest()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(pid << 24) | n], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw)))), *(pa.array([c.to_pylist()], pa.list_(pa.string())) for c in t.columns[2:])],
+                [pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw)))), *(pa.array([c.to_pylist()], pa.list_(pa.string())) for c in t.columns[2:])],
                 names=["block", "ids", "offs", "z", *t.column_names[2:]],
             )
         trim()
@@ -90,13 +96,22 @@ def pack(docs: DataFrame, tag: str | None = None, most: int = BLOCK) -> DataFram
 
 
 def settled(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint."""
+    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint.
+
+    Spark cuts a scan by the number of cores, which changes as executors come and go; the session's number of parts is held
+    fixed from here on, where it isn't set already.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     return cut(blocks) if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")) else blocks
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a block."""
+    if row["z"] is None:
+        raise RuntimeError("the input was cut into other blocks when it was read again")
     off = np.frombuffer(row["offs"], np.int64)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["z"], max_output_size=max(1, int(off[-1]))), np.uint8) if off[-1] else np.zeros(0, np.uint8)
     return np.frombuffer(row["ids"], np.int64), raw, off
