@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _WORDY = np.zeros(256, bool)
 _WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Texts are hashed in runs of whole documents of about this many bytes, which bounds the scratch arrays.
-SLICE = 2 << 20
+SLICE = (1 << 20) - 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     with np.errstate(over="ignore"):
@@ -45,8 +45,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i up to n."""
-    up, down = _powers(max(16, int(n).bit_length()))
-    return up, down
+    return _powers(max(16, int(n).bit_length()))
 
 
 def prefix(values: np.ndarray) -> np.ndarray:

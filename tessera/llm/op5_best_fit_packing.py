@@ -49,6 +49,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     tokens, of which the first may be shorter. Null text is empty (one piece, the end token); a null doc_id stays null; repeated
     rows are packed again; an empty table gives no rows. The driver sees the counts by length, capacity rows at most.
     """
+    S.hold(docs.sparkSession)
     pieces = S.cut(cut_pieces(docs, capacity, path or default_path(), end_id))
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -54,6 +54,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, classes: int, rou
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], train_docs: int = TRAIN) -> DataFrame:
     """doc_id, n_tokens (words), p: the posterior of each domain for every document, in the order of domains."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    S.hold(spark)
     known = labelled.where(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     have = docs.where("doc_id is not null").select("doc_id").distinct()
     chosen = S.cut(known.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))  # at most train_docs rows

@@ -23,8 +23,22 @@ IN_BLOCK = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, offs binary, z binary"
 
 
+def hold(spark: SparkSession) -> None:
+    """Settings of the session that the operators need, where they aren't set already.
+
+    Batches that go to Python are held to 8 MB: rows here are texts and packed arrays, of which several batches are in a task's
+    memory at once. Spark cuts a scan by the number of cores, which changes as executors come and go; the least number of parts is
+    held fixed, so that a scan is cut the same way each time it is read.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.files.minPartitionNum": spark.sparkContext.defaultParallelism}
+    for key, value in wanted.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df behind a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where none is set, as in tests)."""
+    hold(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
@@ -91,19 +105,13 @@ def pack(docs: DataFrame, tag: str | None = None, most: int = BLOCK) -> DataFram
             )
         trim()
 
+    hold(docs.sparkSession)
     more = [f"cast({tag} as string) tags"] if tag else []
     return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more).mapInArrow(run, BLOCK_SCHEMA + ", tags array<string>" * bool(tag))
 
 
 def settled(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint.
-
-    Spark cuts a scan by the number of cores, which changes as executors come and go; the session's number of parts is held
-    fixed from here on, where it isn't set already.
-    """
-    conf = docs.sparkSession.conf
-    if conf.get("spark.sql.files.minPartitionNum", None) is None:
-        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     return cut(blocks) if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")) else blocks
 

@@ -57,7 +57,7 @@ def symbols(w: Windows, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray |
 
 
 def segments(w: Windows, raw: np.ndarray, h: np.ndarray | None, first: np.ndarray) -> Segments:
-    most, found = 1 << 20, []
+    most, found = K.SLICE, []
     for a, b in K.slices(first, most):
         pieces = [(first[a], first[b], first[a : b + 1])]
         if first[b] - first[a] > most:  # one long document, in overlapping pieces
