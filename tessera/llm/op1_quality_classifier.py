@@ -74,8 +74,8 @@ def _counts(trusted: DataFrame, shards: int) -> DataFrame:
     """
     schema = [("shard", pa.int32()), *((n, pa.binary()) for n in "uvwc")]
 
-    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+    def deal_out(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
             _, raw, off = S.unpack(r)
             h, _, _, first = K.words(raw, off, signs=True)
             u, v = before(h, first)
@@ -97,7 +97,7 @@ def _counts(trusted: DataFrame, shards: int) -> DataFrame:
             w1, c1 = np.unique(w[first], return_counts=True)
             yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(k3=k3, c3=c3, x3=x3, at3=at3, t3=t3, o3=o3, k2=k2, c2=c2.astype(np.int32), x2=x2, at2=at2, t2=t2, o2=o2, w=w1, c1=c1.astype(np.int32)))])
 
-    return S.pack(trusted).mapInArrow(deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
+    return S.over(trusted, deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
 
 
 def _words(counts: DataFrame, shards: int) -> DataFrame:
@@ -216,7 +216,7 @@ def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
     block, and come back with probabilities. Within a shard 32 bits of the hash name an n-gram.
     """
     spark = docs.sparkSession
-    blocks = S.settled(S.pack(docs.select("doc_id", "text", tag), tag), docs)
+    blocks = S.blocks(docs.select("doc_id", "text", tag), tag)
     shards, bits, of, unseen = S.parts(spark), _filter(model), model.probabilities(), model.unseen
 
     def looked_up(r: dict) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -227,8 +227,8 @@ def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
         known = [_known(bits.value, x) for x in cols]
         return cols, known, np.unique(np.concatenate([x[k] for x, k in zip(cols, known, strict=True)])), first
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+    def ask(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
             keys = looked_up(r)[2]
             if len(keys):
                 yield S.batch([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("g", pa.binary())], [(s, r["block"], K.blob((keys[at] >> U(5)).astype(np.uint32)), None, None) for s, at in deal(keys, shards)])
@@ -262,7 +262,7 @@ def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
             yield S.batch([("block", pa.int64()), ("shard", pa.int32()), ("pg", pa.binary())], out)
 
     schema = "shard int, block long, keys binary, p binary, g binary"
-    answers = blocks.mapInArrow(ask, schema).unionByName(model.tables.mapInArrow(table, schema)).repartitionById(shards, "shard").mapInArrow(answer, "block long, shard int, pg binary")
+    answers = blocks.map(ask, schema).unionByName(model.tables.mapInArrow(table, schema)).repartitionById(shards, "shard").mapInArrow(answer, "block long, shard int, pg binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pg")).alias("answers"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
             bits_ = np.concatenate([[0.0], np.cumsum(-np.log2(total))])
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(r["tags"], pa.string()), pa.array(np.diff(first)), pa.array(np.diff(bits_[first]))], names=["doc_id", "tag", "n_words", "bits"])
 
-    return S.cut(blocks.join(answers, "block", "left").mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
+    return S.cut(blocks.rows.join(answers, "block", "left").mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
 
 
 def quality_classifier(docs: DataFrame, trusted: DataFrame, train_docs: int = TRAIN, calibrate_docs: int = CALIBRATE, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:

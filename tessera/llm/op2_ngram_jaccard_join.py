@@ -78,7 +78,7 @@ def _of_sets(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["hashes"], U), np.frombuffer(r["sizes"], np.int64)
 
 
-def _tokens(blocks: DataFrame, sets: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, percent: int, half: bool) -> DataFrame:
+def _tokens(blocks: S.Blocks, sets: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, percent: int, half: bool) -> DataFrame:
     """Tokens that could be in a prefix, dealt by hash; and for each block what it knows of its documents.
 
     Tokens are ordered by frequency. half: those with a small hash come first, by frequency, then the others by hash, so that
@@ -87,8 +87,8 @@ def _tokens(blocks: DataFrame, sets: Callable[[dict], tuple[np.ndarray, np.ndarr
     """
     schema = [("shard", pa.int32()), ("block", pa.int64()), ("tokens", pa.binary()), ("info", pa.binary())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+    def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
             ids, h, size = sets(r)
             fa, fb = _fingerprints(h, size)
             sends = _fresh(fa, fb, size, ids)
@@ -105,7 +105,7 @@ def _tokens(blocks: DataFrame, sets: Callable[[dict], tuple[np.ndarray, np.ndarr
             out = [(s, r["block"], K.blob(tokens[by[a:b]]), None) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             yield S.batch(schema, [*out, (r["block"] % shards, r["block"], None, K.blob(info))])
 
-    return blocks.mapInArrow(run, "shard int, block long, tokens binary, info binary")
+    return blocks.map(run, "shard int, block long, tokens binary, info binary")
 
 
 def _frequent(tokens: DataFrame, shards: int) -> DataFrame:
@@ -302,14 +302,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and no links; rows with a null doc_id
     take no part; rows repeating a doc_id are compared like others; an empty table gives no rows.
     """
-    blocks = S.settled(S.pack(docs.select("doc_id", "text")), docs)
+    blocks = S.blocks(docs.select("doc_id", "text"))
     shards = S.shards(docs)
     found = S.cut(_documents(_frequent(_tokens(blocks, _of_text(words), shards, percent, True), shards), percent, True))
     items = S.cut(found.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("item")))
     # those that could have a partner are counted again, among themselves and with all their tokens
     maybe = found.where("tokens is not null").join(items, ["n", "fa", "fb"]).where("doc_id = item").select("block", "item")
-    sets = S.cut(_sets(blocks, maybe, words))
-    again = S.cut(_documents(_frequent(_tokens(sets, _of_sets, shards, percent, False), shards), percent, False).where("tokens is not null").dropDuplicates(["doc_id"]))
+    sets = S.cut(_sets(blocks.rows, maybe, words))
+    again = S.cut(_documents(_frequent(_tokens(S.Blocks(sets), _of_sets, shards, percent, False), shards), percent, False).where("tokens is not null").dropDuplicates(["doc_id"]))
     members = again.withColumnRenamed("doc_id", "item").join(again.groupBy("n", "ga", "gb").agg(F.min("doc_id").alias("g")), ["n", "ga", "gb"])
     own = F.col("item") == F.col("g")
     members = S.cut(members.select("item", "n", "g", F.when(own, F.col("tokens")).alias("tokens"), F.when(own, F.col("places")).alias("places")))

@@ -60,14 +60,14 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], t
     chosen = S.cut(known.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))  # at most train_docs rows
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+    def learn(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
             ids, raw, off = S.unpack(r)
             doc, feature, _ = features(raw, off)
             at = np.searchsorted(doc, np.arange(len(ids) + 1))
             yield S.batch([("domain", pa.string()), ("found", pa.binary())], [(d, K.blob(feature[at[i] : at[i + 1]].astype(np.uint16))) for i, d in enumerate(r["tags"])])
 
-    rows = S.pack(sample, "domain").mapInArrow(learn, "domain string, found binary").collect()
+    rows = S.over(sample, learn, "domain string, found binary", "domain").collect()
     found = sorted(((r.domain, bytes(r.found)) for r in rows))  # in any order the same model
     sets = [np.frombuffer(x, np.uint16).astype(np.int64) for _, x in found]
     label = np.array([domains.index(d) for d, _ in found], int)

@@ -6,7 +6,8 @@ import contextlib
 import ctypes
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -86,41 +87,72 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pack(docs: DataFrame, tag: str | None = None, most: int = BLOCK) -> DataFrame:
-    """Rows of (doc_id, text) as blocks: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array.
+def documents(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[dict]:
+    """Blocks of consecutive documents of a task: block, ids, offs, raw and, if there is a third column, tags.
 
     A block's number is a hash of its place and ids, so a block that came out otherwise would never pass for the same one.
-    Null text is empty; rows with a null doc_id take no part.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(3)
-        for n, t in enumerate(gather(batches, most)):
-            raw, off = K.utf8(t.column(1))
-            ids = t.column(0).to_numpy()
-            name = hashlib.blake2b(K.blob(np.array([pid, n])) + K.blob(ids.astype(np.int64)) + K.blob(off), digest_size=8).digest()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), *(pa.array([x], pa.binary()) for x in (K.blob(ids.astype(np.int64)), K.blob(off), squeeze.compress(K.blob(raw)))), *(pa.array([c.to_pylist()], pa.list_(pa.string())) for c in t.columns[2:])],
-                names=["block", "ids", "offs", "z", *t.column_names[2:]],
-            )
+    pid = TaskContext.get().partitionId()
+    for n, t in enumerate(gather(batches, most)):
+        raw, off = K.utf8(t.column(1))
+        ids = K.blob(t.column(0).to_numpy().astype(np.int64))
+        name = hashlib.blake2b(K.blob(np.array([pid, n])) + ids + K.blob(off), digest_size=8).digest()
+        yield {"block": int.from_bytes(name, "little", signed=True), "ids": ids, "offs": K.blob(off), "raw": raw, "tags": t.column(2).to_pylist() if t.num_columns > 2 else None}
         trim()
 
+
+def _columns(docs: DataFrame, tag: str | None) -> DataFrame:
+    """Null text is empty; rows with a null doc_id take no part."""
     hold(docs.sparkSession)
     more = [f"cast({tag} as string) tags"] if tag else []
-    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more).mapInArrow(run, BLOCK_SCHEMA + ", tags array<string>" * bool(tag))
+    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more)
+
+
+def over(docs: DataFrame, run: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str, tag: str | None = None) -> DataFrame:
+    """run over the blocks of docs, in the tasks that read them."""
+    return _columns(docs, tag).mapInArrow(lambda batches: run(documents(batches)), schema)
+
+
+def pack(docs: DataFrame, tag: str | None = None) -> DataFrame:
+    """Blocks as rows: ids, offsets and compressed bytes of consecutive documents, and the tag column as an array."""
+    schema = [("block", pa.int64()), ("ids", pa.binary()), ("offs", pa.binary()), ("z", pa.binary()), *([("tags", pa.list_(pa.string()))] if tag else [])]
+
+    def run(blocks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3)
+        for r in blocks:
+            yield batch(schema, [(r["block"], r["ids"], r["offs"], squeeze.compress(K.blob(r["raw"])), r["tags"])])
 
+    return over(docs, run, BLOCK_SCHEMA + ", tags array<string>" * bool(tag), tag)
 
-def settled(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blocks that come out the same each time they're read: as they are if docs is only a scan, else behind a checkpoint."""
+
+@dataclass
+class Blocks:
+    """Blocks that come out the same each time they're read: made anew from docs if that is only a scan, else kept behind a checkpoint (docs is None)."""
+
+    rows: DataFrame
+    docs: DataFrame | None = None
+    tag: str | None = None
+
+    def map(self, run: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        if self.docs is not None:
+            return over(self.docs, run, schema, self.tag)
+        return self.rows.mapInArrow(lambda batches: run(rows(batches)), schema)
+
+
+def blocks(docs: DataFrame, tag: str | None = None) -> Blocks:
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return cut(blocks) if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")) else blocks
+    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")):
+        return Blocks(cut(pack(docs, tag)))
+    return Blocks(pack(docs, tag), docs, tag)
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a block."""
+    off = np.frombuffer(row["offs"] or b"", np.int64)
+    if "raw" in row:
+        return np.frombuffer(row["ids"], np.int64), row["raw"], off
     if row["z"] is None:
         raise RuntimeError("the input was cut into other blocks when it was read again")
-    off = np.frombuffer(row["offs"], np.int64)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["z"], max_output_size=max(1, int(off[-1]))), np.uint8) if off[-1] else np.zeros(0, np.uint8)
     return np.frombuffer(row["ids"], np.int64), raw, off
 
@@ -130,7 +162,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
-    trim()
+        trim()
 
 
 def batch(schema: list[tuple[str, pa.DataType]], out: list[tuple]) -> pa.RecordBatch:

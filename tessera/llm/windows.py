@@ -147,10 +147,6 @@ def repeated(w: Windows, shards: int, seg: Segments, ids: np.ndarray, first: np.
     return Repeated(seg, doc_id, place, head, ships, [(s, ships[at]) for s, at in deal(seg.key[ships], shards)])
 
 
-def _loaded(batches: Iterator[pa.RecordBatch], columns: list[str]) -> list[dict]:
-    return [r for r in S.rows(batches) if r[columns[0]] is not None]
-
-
 Matcher = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -202,12 +198,12 @@ def cover(docs: DataFrame, w: Windows, matcher: Matcher) -> DataFrame:
     Null text is empty; rows with a null doc_id take no part; rows repeating a doc_id count as the same document; an empty table
     gives no rows.
     """
-    blocks = S.settled(S.pack(docs.select("doc_id", "text")), docs)
+    blocks = S.blocks(docs.select("doc_id", "text"))
     shards = S.shards(docs)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         schema = [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())]
-        for r in S.rows(batches):
+        for r in rows:
             _, raw, off = S.unpack(r)
             h, first = symbols(w, raw, off)
             keys, counts = np.unique(segments(w, raw, h, first).key, return_counts=True)
@@ -232,9 +228,9 @@ def cover(docs: DataFrame, w: Windows, matcher: Matcher) -> DataFrame:
                 at += len(k)
             yield S.batch([("block", pa.int64()), ("shard", pa.int32()), ("bits", pa.binary())], out)
 
-    flags = blocks.mapInArrow(anchors, "shard int, block long, keys binary, many binary").repartitionById(shards, "shard").mapInArrow(counted, "block long, shard int, bits binary")
+    flags = blocks.map(anchors, "shard int, block long, keys binary, many binary").repartitionById(shards, "shard").mapInArrow(counted, "block long, shard int, bits binary")
     flags = S.cut(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("flags")))
-    known = blocks.join(flags, "block", "left")
+    known = blocks.rows.join(flags, "block", "left")
 
     def opened(r: dict) -> tuple:
         ids, raw, off = S.unpack(r)
