@@ -237,7 +237,7 @@ def test_threshold_stops_early():
 
 def test_quotes():
     body, own, quoted = op4.parse("Yes.\n\nOn Monday X wrote:\n> > deep line\n> A  Line\n> second\nthanks")
-    assert body == "Yes.\nthanks" and len(own) == 3
+    assert body == "Yes.\n\nthanks" and len(own) == 3
     assert sorted({x for x, _ in quoted}) == [1, 2]
     assert (1, op4.digest("a line second")) in quoted and (2, op4.digest("deep line")) in quoted
     assert op4.parse("") == ("", [], [])
