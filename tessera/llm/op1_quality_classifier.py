@@ -18,8 +18,8 @@ from tessera.llm import spark as S
 from tessera.llm.windows import deal
 
 U = np.uint64
-#: Trusted documents a language that the model is trained on, and others that its quantiles are taken from. Both bound the model.
-TRAIN, CALIBRATE = 500, 400
+#: Trusted documents a language that its quantiles are taken from.
+CALIBRATE = 400
 #: A document is rejected if its perplexity is more than MARGIN times this quantile of the trusted ones of its language.
 QUANTILE, MARGIN = 0.99, 1.25
 #: So many words of the language's usual perplexity are added to a document's own, as short texts say little.
@@ -66,8 +66,36 @@ def _contexts(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, at.astype(np.int32), total, often
 
 
-def _counts(trusted: DataFrame, shards: int) -> DataFrame:
-    """shard, data: counts of all n-grams of trusted text with the same middle word v, with their contexts.
+def _chosen(blocks: S.Blocks, ids: DataFrame) -> Broadcast:
+    """For each block a bit for each of its documents that ids holds: texts needn't be dealt out to find them, and 15 million documents take 2 MB."""
+
+    def numbered(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            own = np.frombuffer(r["ids"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"], np.int64)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], names=["block", "at", "doc_id"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            bits = np.zeros(r["n"], bool)
+            bits[r["at"]] = True
+            yield S.batch([("block", pa.int64()), ("bits", pa.binary())], [(r["block"], K.blob(np.packbits(bits)))])
+
+    wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("chosen")).distinct()
+    found = blocks.map(numbered, "block long, at int, doc_id long").join(wanted, "doc_id", "left").groupBy("block").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("chosen"), F.col("at"))).alias("at"))
+    return ids.sparkSession.sparkContext.broadcast({r.block: bytes(r.bits) for r in found.mapInArrow(pack, "block long, bits binary").collect()})
+
+
+def _part(r: dict, chosen: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a block's chosen documents."""
+    _, raw, off = S.unpack(r)
+    if r["block"] not in chosen:
+        raise RuntimeError("the input was cut into other blocks when it was read again")
+    own = np.flatnonzero(np.unpackbits(np.frombuffer(chosen[r["block"]], np.uint8), count=len(off) - 1))
+    return np.concatenate([np.zeros(0, np.uint8), *(raw[off[i] : off[i + 1]] for i in own)]), np.concatenate([[0], np.cumsum(np.diff(off)[own])]).astype(np.int64)
+
+
+def _counts(blocks: S.Blocks, shards: int, chosen: Broadcast | None = None) -> DataFrame:
+    """shard, data: counts of all n-grams of trusted text with the same middle word v, with their contexts; chosen: the blocks' trusted documents, if not all.
 
     Trigrams uvw are dealt by v, so a shard sees all of uvw, uv and v, and in how many ways each vw is preceded; of single words w
     it has how many of its own v stand before.
@@ -76,7 +104,7 @@ def _counts(trusted: DataFrame, shards: int) -> DataFrame:
 
     def deal_out(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            _, raw, off = S.unpack(r)
+            raw, off = _part(r, chosen.value) if chosen else S.unpack(r)[1:]
             h, _, _, first = K.words(raw, off, signs=True)
             u, v = before(h, first)
             _, at, c = np.unique(K.follow(K.follow(u, v), h), return_index=True, return_counts=True)
@@ -97,7 +125,7 @@ def _counts(trusted: DataFrame, shards: int) -> DataFrame:
             w1, c1 = np.unique(w[first], return_counts=True)
             yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(k3=k3, c3=c3, x3=x3, at3=at3, t3=t3, o3=o3, k2=k2, c2=c2.astype(np.int32), x2=x2, at2=at2, t2=t2, o2=o2, w=w1, c1=c1.astype(np.int32)))])
 
-    return S.over(trusted, deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
+    return blocks.map(deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
 
 
 def _words(counts: DataFrame, shards: int) -> DataFrame:
@@ -168,10 +196,11 @@ class Model:
         return of
 
 
-def train(trusted: DataFrame) -> Model:
-    """An interpolated modified Kneser-Ney model of trigrams; lower orders count how many different words stand before."""
-    shards = S.parts(trusted.sparkSession)
-    grams = S.cut(_counts(trusted, shards))
+def train(trusted: DataFrame | S.Blocks, ids: DataFrame | None = None) -> Model:
+    """An interpolated modified Kneser-Ney model of trigrams, of all documents or those that ids holds; lower orders count how many different words stand before."""
+    blocks = trusted if isinstance(trusted, S.Blocks) else S.blocks(trusted)
+    shards = S.parts(blocks.rows.sparkSession)
+    grams = S.cut(_counts(blocks, shards, None if ids is None else _chosen(blocks, ids)))
     words = S.cut(_words(grams, shards))
     o1 = _often(words, "c")
     d1 = _discounts(o1)
@@ -209,14 +238,14 @@ def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
+def perplexity(docs: DataFrame | S.Blocks, model: Model, tag: str = "lang") -> DataFrame:
     """doc_id, tag, n_words, bits: length and negative log2 probability of every document.
 
     The n-grams of each block of documents that the filter lets through meet the shards of the count table, each once for a
     block, and come back with probabilities. Within a shard 32 bits of the hash name an n-gram.
     """
-    spark = docs.sparkSession
-    blocks = S.blocks(docs.select("doc_id", "text", tag), tag)
+    blocks = docs if isinstance(docs, S.Blocks) else S.blocks(docs.select("doc_id", "text", tag), tag)
+    spark = blocks.rows.sparkSession
     shards, bits, of, unseen = S.parts(spark), _filter(model), model.probabilities(), model.unseen
 
     def looked_up(r: dict) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -288,27 +317,23 @@ def perplexity(docs: DataFrame, model: Model, tag: str = "lang") -> DataFrame:
     return S.cut(blocks.rows.join(answers, "block", "left").mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
 
 
-def quality_classifier(docs: DataFrame, trusted: DataFrame, train_docs: int = TRAIN, calibrate_docs: int = CALIBRATE, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:
+def quality_classifier(docs: DataFrame, trusted: DataFrame, calibrate_docs: int = CALIBRATE, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep for every document.
 
-    trusted: doc_id of documents whose text is trusted. Of each language those with the smallest hashes take part; of every
-    three, two train one model, until there are train_docs, and one gives the language's quantile, until there are
-    calibrate_docs; a language without any takes the quantile of all. Perplexity is
+    trusted: doc_id of documents whose text is trusted. Those whose hash three divides are held out, all others train one model.
+    The held-out documents of a language with the smallest hashes, calibrate_docs at most, give its quantile; a language without any takes the quantile of all. Perplexity is
     by word, with prior words of the language's median. Null and empty texts have no words: perplexity is null, keep is false.
     Rows with a null doc_id take no part; a null lang is a language; repeated rows are judged each; without trusted text nothing can be judged and all
     documents with words stay. An empty table gives no rows.
     """
-    hashed = docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("doc_id").alias("hash"))
-    most = max(3 * calibrate_docs, 3 * train_docs // 2)
-    nr = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
-    held_out = F.col("nr") % 3 == 0
+    ids, held_out = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    blocks = S.blocks(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), "lang")
+    scored = perplexity(blocks, train(blocks, ids.where(~held_out))).withColumnRenamed("tag", "lang")
+    held = scored.join(ids.where(held_out), "doc_id", "left_semi")
+    nr = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
     # the smallest of each part first, so that one language's rows never meet in one task as a whole
-    parted = hashed.withColumn("part", F.pmod("hash", F.lit(61))).withColumn("nr", nr("lang", "part")).where(F.col("nr") <= most)
-    ranked = parted.withColumn("nr", nr("lang")).where(F.col("nr") <= most)
-    chosen = S.cut(ranked.where((held_out & (F.col("nr") <= 3 * calibrate_docs)) | (~held_out & (F.col("nr") <= 3 * train_docs // 2))).select("doc_id", held_out.alias("held_out")))
-    sample = docs.join(F.broadcast(chosen.where("not held_out").select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
-    scored = perplexity(docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))), train(sample)).withColumnRenamed("tag", "lang")
-    held = scored.join(F.broadcast(chosen.where("held_out").select("doc_id").distinct()), "doc_id", "left_semi").where("n_words > 0").withColumn("each", F.col("bits") / F.col("n_words"))
+    held = held.withColumn("nr", nr("lang", F.pmod(F.xxhash64("doc_id"), F.lit(61)))).where(F.col("nr") <= calibrate_docs).withColumn("nr", nr("lang")).where(F.col("nr") <= calibrate_docs)
+    held = held.where("n_words > 0").withColumn("each", F.col("bits") / F.col("n_words"))
     usual = held.groupBy("lang").agg(F.median("each").alias("usual"))
     every = F.median("each").alias("usual")
     all_usual = held.agg(every).first().usual

@@ -103,6 +103,21 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert good > 0.97 and bad < 0.35
 
 
+def test_all_trusted_documents_count(spark):
+    """Words that stand in one trusted document each, of more documents than any sample took: every word that isn't held out is known."""
+    docs = [(i, f"the cat sat on a mat rare{i} rare{i}") for i in range(2400)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id bigint, text string, lang string").repartition(3)
+    seen = []
+    train = op1.train
+    op1.train = lambda *args: seen.append(train(*args)) or seen[-1]
+    try:
+        op1.quality_classifier(df, df.select("doc_id")).count()
+    finally:
+        op1.train = train
+    counted = df.where("pmod(xxhash64(doc_id), 3) <> 0").count()
+    assert seen[0].total == op1.train(df.where("pmod(xxhash64(doc_id), 3) <> 0").select("doc_id", "text")).total and seen[0].total > 2 * counted > 1000
+
+
 def test_token_counts(spark):
     docs = corpus(30, 5) + EDGE
     got = op3.token_counts(frame(spark, docs), bucket=8).orderBy("n_tokens").collect()
