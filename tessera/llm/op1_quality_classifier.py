@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
@@ -18,8 +18,6 @@ from tessera.llm import spark as S
 from tessera.llm.windows import deal
 
 U = np.uint64
-#: Trusted documents a language that its quantiles are taken from.
-CALIBRATE = 400
 #: A document is rejected if its perplexity is more than MARGIN times this quantile of the trusted ones of its language.
 QUANTILE, MARGIN = 0.99, 1.25
 #: So many words of the language's usual perplexity are added to a document's own, as short texts say little.
@@ -317,11 +315,12 @@ def perplexity(docs: DataFrame | S.Blocks, model: Model, tag: str = "lang") -> D
     return S.cut(blocks.rows.join(answers, "block", "left").mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
 
 
-def quality_classifier(docs: DataFrame, trusted: DataFrame, calibrate_docs: int = CALIBRATE, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:
+def quality_classifier(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep for every document.
 
     trusted: doc_id of documents whose text is trusted. Those whose hash three divides are held out, all others train one model.
-    The held-out documents of a language with the smallest hashes, calibrate_docs at most, give its quantile; a language without any takes the quantile of all. Perplexity is
+    All held-out documents of a language give its median and quantile, counted by values of four decimals, which bounds what a
+    task holds; a language without any takes those of all. Perplexity is
     by word, with prior words of the language's median. Null and empty texts have no words: perplexity is null, keep is false.
     Rows with a null doc_id take no part; a null lang is a language; repeated rows are judged each; without trusted text nothing can be judged and all
     documents with words stay. An empty table gives no rows.
@@ -330,15 +329,12 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, calibrate_docs: int
     blocks = S.blocks(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), "lang")
     scored = perplexity(blocks, train(blocks, ids.where(~held_out))).withColumnRenamed("tag", "lang")
     held = scored.join(ids.where(held_out), "doc_id", "left_semi")
-    nr = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # the smallest of each part first, so that one language's rows never meet in one task as a whole
-    held = held.withColumn("nr", nr("lang", F.pmod(F.xxhash64("doc_id"), F.lit(61)))).where(F.col("nr") <= calibrate_docs).withColumn("nr", nr("lang")).where(F.col("nr") <= calibrate_docs)
-    held = held.where("n_words > 0").withColumn("each", F.col("bits") / F.col("n_words"))
+    held = held.where("n_words > 0").withColumn("each", F.round(F.col("bits") / F.col("n_words"), 4))
     usual = held.groupBy("lang").agg(F.median("each").alias("usual"))
     every = F.median("each").alias("usual")
     all_usual = held.agg(every).first().usual
     shrunk = lambda usual: (F.col("bits") + prior * usual) / (F.col("n_words") + prior)
-    limits = held.join(usual, "lang").withColumn("shrunk", shrunk(F.col("usual")))
+    limits = held.join(usual, "lang").withColumn("shrunk", F.round(shrunk(F.col("usual")), 4))
     all_limit = limits.agg(F.percentile("shrunk", F.lit(quantile)).alias("q")).first().q
     limits = S.cut(limits.groupBy("lang", "usual").agg(F.percentile("shrunk", F.lit(quantile)).alias("q")))  # a row a language of the sample
     out = scored.join(F.broadcast(limits), "lang", "left")

@@ -118,6 +118,20 @@ def test_all_trusted_documents_count(spark):
     assert seen[0].total == op1.train(df.where("pmod(xxhash64(doc_id), 3) <> 0").select("doc_id", "text")).total and seen[0].total > 2 * counted > 1000
 
 
+def test_all_held_out_documents_give_the_threshold(spark):
+    """A third of 2,400 documents is held out; median and quantile are those of all of them."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice("abcdefghij") for _ in range(40)) + " x!" * (i % 90 == 0) * 30) for i in range(2400)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id bigint, text string, lang string").repartition(3)
+    held = df.where("pmod(xxhash64(doc_id), 3) = 0").select("doc_id")
+    model = op1.train(df.join(held, "doc_id", "left_anti").select("doc_id", "text"))
+    rows = [(r.bits, r.n_words) for r in op1.perplexity(df, model).join(held, "doc_id").collect()]
+    usual = np.median([b / n for b, n in rows])
+    want = 2 ** np.quantile([(b + op1.PRIOR * usual) / (n + op1.PRIOR) for b, n in rows], op1.QUANTILE) * op1.MARGIN
+    assert len(rows) > 700
+    assert op1.quality_classifier(df, df.select("doc_id")).first().threshold == pytest.approx(want, rel=2e-3)
+
+
 def test_token_counts(spark):
     docs = corpus(30, 5) + EDGE
     got = op3.token_counts(frame(spark, docs), bucket=8).orderBy("n_tokens").collect()
