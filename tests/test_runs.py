@@ -1,13 +1,16 @@
 """Reports tampered with, runs resumed, sinks read back, containers, logs, streams."""
 
 import csv
+import hashlib
 import io
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import collisions, reconcile, summary
+from tessera.plans import reports as plans_reports
 from tessera.plans.pipeline import RunSpec, run
 from tessera.sources import inventory, packages, plugins, probes, reports, sinks
 
@@ -87,6 +90,28 @@ def test_codec_failure_is_a_row(spark):
     assert got == [(0, "lossless", False, ""), (1, "error", True, "OSError: broken")]
 
 
+def documents_of(spark, path, texts):
+    rows = [(i, "en", "s", t) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_whole_texts_go_through_the_sink(spark, tmp_path, monkeypatch):
+    text = "a" * 300 + ' b\r\nc "d", \\"e\n' + "f" * 300
+    sf, publish, at = documents_of(spark, tmp_path, [(1, text), (2, text + "g")]), sinks.publish_csv, []
+    monkeypatch.setattr(plans_reports.sinks, "publish_csv", lambda *args: at.append(publish(*args)) or at[-1])
+    got = {r.id: r.digest for r in plans_reports.report_roundtrip(spark, sf).collect()}
+    assert got == dict.fromkeys((1, 2), hashlib.sha256(b"a" * 200).hexdigest())
+    files = [f for f in os.listdir(at[0]) if f.endswith(".csv")]
+    with open(f"{at[0]}/{files[0]}", newline="", encoding="utf-8") as f:
+        assert {r["id"]: r["error_message"] for r in csv.DictReader(f)} == {"1": text, "2": text + "g"}
+
+
+def test_summary_lines_reads_whole_texts(spark, tmp_path):
+    sf = documents_of(spark, tmp_path, [(3, ""), (5, ""), (7, "x" * 100 + "Resized 8 images (9 errors)")])
+    assert [tuple(r) for r in plans_reports.summary_lines(spark, sf).select("count", "errors").collect()] == [(8, 9)]
+
+
 def test_unknown_is_not_zero(spark):
     t = spark.createDataFrame([(1, 10, 4, "OK"), (1, 5, None, "ERROR"), (2, 7, 7, "OK")], "g int, source_size bigint, output_size bigint, status string")
     got = {r.g: (r.orig_size, r.new_size, r.saved, r.errors) for r in summary.report_totals(t, ["g"]).collect()}
