@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import collisions, reconcile, summary
+from tessera.plans import joins
 from tessera.plans import reports as plans_reports
 from tessera.plans.pipeline import RunSpec, run
 from tessera.sources import inventory, packages, plugins, probes, reports, sinks
@@ -112,6 +113,15 @@ def test_summary_lines_reads_whole_texts(spark, tmp_path):
     assert [tuple(r) for r in plans_reports.summary_lines(spark, sf).select("count", "errors").collect()] == [(8, 9)]
 
 
+def test_short_references_are_found(spark, tmp_path):
+    items = ["one", "b c", "a b c d e f", "a b c d e f g", "", "z z"]
+    texts = [(1, "x a b c d e f. y"), (2, "a b c d e fs"), (3, "one"), (4, "a b c d e f gh"), (5, "no"), (6, "")]
+    sf = documents_of(spark, tmp_path, texts)
+    spark.createDataFrame(list(enumerate(items)), "item_id int, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = sorted(tuple(r) for r in joins.reference_overlap(spark, sf).collect())
+    assert got == sorted((i, k) for i, text in texts for k, item in enumerate(items) if item in text)
+
+
 def test_unknown_is_not_zero(spark):
     t = spark.createDataFrame([(1, 10, 4, "OK"), (1, 5, None, "ERROR"), (2, 7, 7, "OK")], "g int, source_size bigint, output_size bigint, status string")
     got = {r.g: (r.orig_size, r.new_size, r.saved, r.errors) for r in summary.report_totals(t, ["g"]).collect()}
