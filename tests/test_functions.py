@@ -175,3 +175,11 @@ def test_run_spec():
     for bad in (dict(preset="x"), dict(photo_dpi=100, profiles={"photo": ("a",)}), dict(photo_dpi=200), dict(safe=True, preset="compact"), dict(preview_dpis=(1, 2, 3, 4, 5, 6))):
         with pytest.raises(ValueError):
             RunSpec(**bad)
+
+
+def test_bench_times_the_operators_and_the_containment_query():
+    import __spark_entry__
+    import bench
+
+    names = bench.headline(__spark_entry__.queries())
+    assert "reference_overlap" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
