@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import kernels as K
@@ -68,6 +68,7 @@ def test_forest():
 
 
 @settings(max_examples=60, deadline=None)
+@example({33: 9})
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plans_hold_every_piece_once(histogram):
     p = best_plan(histogram, 64)
@@ -84,5 +85,6 @@ def test_plans_hold_every_piece_once(histogram):
             assert offset == at
             at += n
         assert at <= 64
-    total = sum(a * b for a, b in histogram.items())
-    assert len(fill) <= -(-total // 64) * 1.5 + 1
+    # no packing has fewer sequences than the tokens fill, or than there are pieces of which no two fit together
+    least = max(-(-sum(a * b for a, b in histogram.items()) // 64), sum(c for n, c in histogram.items() if n > 32))
+    assert len(fill) <= least * 1.5 + 1
