@@ -6,6 +6,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
 _R = U(0x9E3779B97F4A7C15 | 1)
@@ -34,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     with np.errstate(over="ignore"):
@@ -45,7 +46,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i up to n."""
-    return _powers(max(16, int(n).bit_length()))
+    return _powers(max(21, int(n).bit_length()))  # one table for all usual lengths
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -169,3 +170,33 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
+
+
+def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers >= 0 in as many bytes as the largest takes, byte planes after each other, compressed; rising: as differences."""
+    x = np.asarray(x).astype("<u8")
+    if rising and len(x):
+        x = np.diff(x, prepend=U(0))
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + _SQUEEZE.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def loosen(data: bytes, rising: bool = False) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(_LOOSEN.decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    x = out.reshape(-1).view("<u8")
+    return np.cumsum(x, dtype=U) if rising else x
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns begin a new value."""
+    new = np.ones(len(columns[0]), bool)
+    np.not_equal(columns[0][1:], columns[0][:-1], out=new[1:])
+    for c in columns[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+_SQUEEZE, _LOOSEN = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()

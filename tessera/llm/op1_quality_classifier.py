@@ -1,37 +1,60 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text gives each document's perplexity, held against quantiles of its language."""
+"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text gives each document's perplexity, held against quantiles of its language.
+
+The model is trained and applied by joins on shards of count tables:
+
+* trigrams uvw are counted where their context uv belongs, bigrams vw (in how many ways each is preceded) where v does, words
+  where they do; so a very frequent word costs its bigrams at most, not its trigrams, in one place.
+* P(w | uv) = (c - d) / total + g(uv) * P(w | v), and so on down. A document's log-probability is therefore a sum over its
+  n-grams: log P(w) for each word, log g(v) and log g(uv) for each context, and for each n-gram that the model has the step
+  log P(w | uv) - log g(uv) - log P(w | v). These steps are the model: a table from n-grams to weights, dealt by hash.
+* each block of documents sends its n-grams with the documents that hold them, and shards answer with sums by document. Texts are
+  never sent, and nothing is kept by n-gram.
+
+The hash space of n-grams is gone through in PASSES parts, one after the other, so that what is on disk at once is that part of
+the corpus's n-grams.
+"""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm import spark as S
-from tessera.llm.windows import deal
+from tessera.llm.kernels import loosen, squeeze
 
 U = np.uint64
 #: A document is rejected if its perplexity is more than MARGIN times this quantile of the trusted ones of its language.
 QUANTILE, MARGIN = 0.99, 1.25
 #: So many words of the language's usual perplexity are added to a document's own, as short texts say little.
 PRIOR = 30
-#: Bits of the filter that tells which n-grams the model can't have; PARTS tasks make a part of it each.
-BITS, PARTS = 27, 16
-_BOS = U(0x0123456789ABCDEF)
-
-
-def before(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Parts of the hash space that are gone through one after the other, when the model is trained and when it is asked.
+TURNS, PASSES = 3, 5
+#: Bytes of text for each shard, and in a corpus of few shards, of which there are FEW then at most.
+SHARD, SMALL, FEW = 128 << 20, 16 << 20, 64
+#: Bytes of the bits that tell which documents are trusted, a bit each; with more documents, trusted texts are joined instead.
+MOST_BITS = 32 << 20
+#: Trigrams that a task holds while it deals their weights out.
+AT_ONCE = 1 << 22
+#: Weights are whole numbers of 1 / SCALE bit.
+SCALE = 1024
+#: A word is 48 bits of its hash; an n-gram in a shard of the weights 40 bits, so one in a million absent ones passes for another.
+_BOS = U(0x0123456789AB)
+UNI, UNI_CONTEXT, BI, BI_CONTEXT, TRI = range(5)
+
+
+def before(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two words u and v before each word in its document."""
-    n = len(h)
+    n = len(w)
     v, u = np.full(n, _BOS, U), np.full(n, _BOS, U)
-    v[1:], u[2:] = h[:-1], h[:-2]
+    v[1:], u[2:] = w[:-1], w[:-2]
     begin = first[:-1][np.diff(first) > 0]
     v[begin] = u[begin] = _BOS
     second = first[:-1][np.diff(first) > 1] + 1
@@ -39,33 +62,76 @@ def before(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, v
 
 
-def ngrams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word w: hashes of w, v, vw, uv, uvw."""
-    u, v = before(h, first)
-    uv = K.follow(u, v)
-    return h, v, K.follow(v, h), uv, K.follow(uv, h)
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, _, _, first = K.words(raw, off, signs=True)
+    return h >> U(16), first
+
 
+def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard and positions of its keys, in the order of keys."""
+    shard = ((keys >> U(20)) % U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")  # of 16 bits: in linear time
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), order[cuts[s] : cuts[s + 1]]
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(1).compress(out.getvalue())
 
+def _turn(keys: np.ndarray, turns: int) -> np.ndarray:
+    """The part of the hash space that each key is in; told by the bits that name it in its shard, too."""
+    return (keys >> U(24)).astype(np.uint16) % np.uint16(turns)
 
-def _unpacked(data: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))))
 
+def _rows(names: str, *out: tuple) -> pa.RecordBatch:
+    """names: part, then binary columns; n: a list of counts."""
+    kinds = {"part": pa.int32(), "kind": pa.int32(), "back": pa.int32(), "turn": pa.int32(), "block": pa.int64(), "n": pa.list_(pa.int64()), "tags": pa.list_(pa.string())}
+    return S.batch([(x, kinds.get(x, pa.binary())) for x in names.split()], list(out))
 
-def _contexts(context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, each n-gram's context, the totals of the counts, and how many n-grams are seen once, twice and more often."""
-    keys, at = np.unique(context, return_inverse=True)
-    total = np.bincount(at, c, len(keys)).astype(np.int64)
-    often = np.stack([np.bincount(at, m, len(keys)) for m in (c == 1, c == 2, c > 2)]).astype(np.int32)
-    return keys, at.astype(np.int32), total, often
 
+def _schema(names: str) -> str:
+    kinds = {"part": "int", "kind": "int", "back": "int", "turn": "int", "block": "long", "n": "array<long>", "tags": "array<string>"}
+    return ", ".join(f"{x} {kinds.get(x, 'binary')}" for x in names.split())
 
-def _chosen(blocks: S.Blocks, ids: DataFrame) -> Broadcast:
-    """For each block a bit for each of its documents that ids holds: texts needn't be dealt out to find them, and 15 million documents take 2 MB."""
+
+def _reduce(rows: DataFrame, shards: int, run, names: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """run over the rows of each part, one part a task."""
+    dealt = rows.repartitionById(shards, "part")
+    return (dealt.sortWithinPartitions(*order) if order else dealt).mapInArrow(lambda batches: run(S.rows(batches)), _schema(names))
+
+
+def _joined(rows: list[dict], name: str, rising: bool = False) -> np.ndarray:
+    return np.concatenate([loosen(r[name], rising) for r in rows])
+
+
+def _often(c: np.ndarray) -> list[int]:
+    """How many n-grams are seen once, twice, three and four times, how many there are, and the sum of their counts."""
+    return [*(int((c == i).sum()) for i in range(1, 5)), len(c), int(c.sum())]
+
+
+def _summed(rows: DataFrame) -> list[int]:
+    return [int(x or 0) for x in rows.agg(*(F.sum(F.col("n")[i]) for i in range(6))).first()]
+
+
+def _discounts(often: list[int]) -> np.ndarray:
+    """Discounts of n-grams seen once, twice and more often."""
+    n1, n2, n3, n4 = often[:4]
+    if not (n1 and n2 and n3):
+        return np.array([0.5, 0.75, 0.9])  # too few to tell
+    y = n1 / (n1 + 2 * n2)
+    return np.array([min(max(i - (i + 1) * y * b / a, 0.1), float(i)) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)])
+
+
+def _less(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return c - d[np.minimum(c, 3).astype(np.int64) - 1]
+
+
+def _mass(c: np.ndarray, begin: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the counts of each context, whose n-grams begin at begin, and the share that discounts leave."""
+    total = np.add.reduceat(c.astype(np.int64), begin)
+    return total, np.add.reduceat(d[np.minimum(c, 3).astype(np.int64) - 1], begin) / total
+
+
+def _marked(blocks: S.Blocks, ids: DataFrame) -> Broadcast:
+    """For each block a bit for each of its documents that ids holds; the caller has checked how many documents there are."""
 
     def numbered(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
@@ -92,227 +158,381 @@ def _part(r: dict, chosen: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint8), *(raw[off[i] : off[i + 1]] for i in own)]), np.concatenate([[0], np.cumsum(np.diff(off)[own])]).astype(np.int64)
 
 
-def _counts(blocks: S.Blocks, shards: int, chosen: Broadcast | None = None) -> DataFrame:
-    """shard, data: counts of all n-grams of trusted text with the same middle word v, with their contexts; chosen: the blocks' trusted documents, if not all.
-
-    Trigrams uvw are dealt by v, so a shard sees all of uvw, uv and v, and in how many ways each vw is preceded; of single words w
-    it has how many of its own v stand before.
-    """
-    schema = [("shard", pa.int32()), *((n, pa.binary()) for n in "uvwc")]
+def _trigrams(blocks: S.Blocks, shards: int, turn: int, chosen: Broadcast | None) -> DataFrame:
+    """Counts of the trigrams uvw whose v falls into this turn, where uv belongs: v (rising), contexts of each, u, trigrams of each, w, c."""
 
     def deal_out(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            raw, off = _part(r, chosen.value) if chosen else S.unpack(r)[1:]
-            h, _, _, first = K.words(raw, off, signs=True)
-            u, v = before(h, first)
-            _, at, c = np.unique(K.follow(K.follow(u, v), h), return_index=True, return_counts=True)
-            yield S.batch(schema, [(s, *map(K.blob, (u[at[own]], v[at[own]], h[at[own]], c[own].astype(np.int32)))) for s, own in deal(K.mix(v[at]), shards)])
+            w, first = words(*(_part(r, chosen.value) if chosen else S.unpack(r)[1:]))
+            u, v = before(w, first)
+            mine = np.flatnonzero(_turn(K.mix(v), TURNS) == turn)
+            u, v, w = u[mine], v[mine], w[mine]
+            uv = K.follow(u, v)
+            _, at, c = np.unique(K.follow(uv, w), return_index=True, return_counts=True)
+            yield _rows("part u v w c", *((s, squeeze(u[at[own]]), squeeze(v[at[own]]), squeeze(w[at[own]]), squeeze(c[own])) for s, own in _parts(uv[at], shards)))
+
+    def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        if rows := list(rows):
+            u, v, w, c = (_joined(rows, x) for x in "uvwc")
+            rows.clear()
+            _, at, inverse = np.unique(K.follow(K.follow(u, v), w), return_index=True, return_inverse=True)
+            c = np.bincount(inverse, c).astype(U)
+            order = np.lexsort((w[at], u[at], v[at]))
+            u, v, w, c = u[at[order]], v[at[order]], w[at[order]], c[order]
+            uv = K.changes(v, u)
+            vs = K.changes(v[uv])
+            yield _rows("v nv u nu w c n", (squeeze(v[uv][vs], True), squeeze(np.diff(vs, append=len(uv))), squeeze(u[uv]), squeeze(np.diff(uv, append=len(w))), squeeze(w), squeeze(c), _often(c)))
+
+    return _reduce(blocks.map(deal_out, _schema("part u v w c")), shards, count, "v nv u nu w c n")
+
+
+def _opened(r: dict) -> tuple[np.ndarray, ...]:
+    """v and u of each context, where its trigrams begin and how many there are, w and c of each trigram."""
+    many = loosen(r["nu"]).astype(np.int64)
+    return np.repeat(loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)), loosen(r["u"]), np.cumsum(many) - many, many, loosen(r["w"]), loosen(r["c"])
+
+
+def _bigrams(trigrams: DataFrame, shards: int) -> DataFrame:
+    """In how many ways each bigram is preceded, where v belongs: v (rising), bigrams of each, w, c."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            by.setdefault(r["shard"], []).append(r)
-        for shard, rows in by.items():
-            u, v, w, c = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("u", U), ("v", U), ("w", U), ("c", np.int32)))
-            k3, first, inverse = np.unique(K.follow(K.follow(u, v), w), return_index=True, return_inverse=True)
-            c3 = np.bincount(inverse, c).astype(np.int32)
-            u, v, w = u[first], v[first], w[first]
-            k2, first, c2 = np.unique(K.follow(v, w), return_index=True, return_counts=True)
-            x3, at3, t3, o3 = _contexts(K.follow(u, v), c3)
-            x2, at2, t2, o2 = _contexts(v[first], c2)
-            w1, c1 = np.unique(w[first], return_counts=True)
-            yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(k3=k3, c3=c3, x3=x3, at3=at3, t3=t3, o3=o3, k2=k2, c2=c2.astype(np.int32), x2=x2, at2=at2, t2=t2, o2=o2, w=w1, c1=c1.astype(np.int32)))])
+            v, _, _, many, w, _ = _opened(r)
+            v = np.repeat(v, many)
+            _, at, c = np.unique(K.follow(v, w), return_index=True, return_counts=True)
+            at, c = at[order := np.argsort(v[at], kind="stable")], c[order]
+            yield _rows("part v w c", *((s, squeeze(v[at[own]], True), squeeze(w[at[own]]), squeeze(c[own])) for s, own in _parts(K.mix(v[at]), shards)))
+
+    def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        part, u, v, w, c = 0, [], [], [], []
+        for r in rows:
+            part = r["part"]
+            for x, name in ((v, "v"), (w, "w"), (c, "c")):
+                x.append(loosen(r[name], name == "v"))
+        if v:
+            v, w, c = map(np.concatenate, (v, w, c))
+            _, at, inverse = np.unique(K.follow(v, w), return_index=True, return_inverse=True)
+            c = np.bincount(inverse, c).astype(U)
+            order = np.lexsort((w[at], v[at]))
+            v, w, c = v[at[order]], w[at[order]], c[order]
+            vs = K.changes(v)
+            yield _rows("part v nv w c n", (part, squeeze(v[vs], True), squeeze(np.diff(vs, append=len(v))), squeeze(w), squeeze(c), _often(c)))
 
-    return blocks.map(deal_out, "shard int, u binary, v binary, w binary, c binary").repartitionById(shards, "shard").mapInArrow(count, "shard int, data binary")
+    return _reduce(trigrams.mapInArrow(deal_out, _schema("part v w c")), shards, count, "part v nv w c n")
 
 
-def _words(counts: DataFrame, shards: int) -> DataFrame:
-    """shard, data: single words and in how many ways each is preceded, over all shards."""
+def _words(bigrams: DataFrame, shards: int) -> DataFrame:
+    """In how many ways each word is preceded."""
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            d = _unpacked(r["data"])
-            yield S.batch([("shard", pa.int32()), ("w", pa.binary()), ("c", pa.binary())], [(s, K.blob(d["w"][at]), K.blob(d["c1"][at])) for s, at in deal(d["w"], shards)])
+            w, c = np.unique(loosen(r["w"]), return_counts=True)
+            yield _rows("part w c", *((s, squeeze(w[at], True), squeeze(c[at])) for s, at in _parts(K.mix(w), shards)))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
+    def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        if rows := list(rows):
+            w, inverse = np.unique(_joined(rows, "w", True), return_inverse=True)
+            c = np.bincount(inverse, _joined(rows, "c")).astype(U)
+            yield _rows("part w c n", (rows[0]["part"], squeeze(w, True), squeeze(c), _often(c)))
+
+    return _reduce(bigrams.mapInArrow(deal_out, _schema("part w c")), shards, count, "part w c n")
+
+
+_PROBABLE = "part turn v nv w low p left"
+
+
+def _probable(bigrams: DataFrame, single: DataFrame, shards: int, p1, d2: np.ndarray) -> DataFrame:
+    """The rows of bigrams, with P(w) and P(w | v) of each bigram and the share that v leaves, as negative logarithms in 1 / SCALE bit: words ask for their probability where they belong."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            by.setdefault(r["shard"], []).append(r)
-        for shard, rows in by.items():
-            w, inverse = np.unique(np.concatenate([np.frombuffer(r["w"], U) for r in rows]), return_inverse=True)
-            yield S.batch([("shard", pa.int32()), ("data", pa.binary())], [(shard, _packed(w=w, c=np.bincount(inverse, np.concatenate([np.frombuffer(r["c"], np.int32) for r in rows])).astype(np.int64)))])
+            w = np.unique(loosen(r["w"]))
+            yield _rows("part back w p", *((s, r["part"], squeeze(w[at], True), None) for s, at in _parts(K.mix(w), shards)))
+
+    def answer(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        w = p = None
+        for r in rows:  # the table comes first
+            if r["back"] < 0:
+                w, p = loosen(r["w"], True), p1(loosen(r["p"]))
+            else:
+                yield _rows("part back w p", (r["back"], r["part"], r["w"], K.blob(p[np.searchsorted(w, loosen(r["w"], True))].astype(np.float32))))
+
+    def merge(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        own, w, p = None, [], []
+        for r in rows:
+            if r["back"] is None:
+                own = r
+            else:
+                w.append(loosen(r["w"], True))
+                p.append(np.frombuffer(r["p"], np.float32))
+        if own:
+            w, p, mine = np.concatenate(w), np.concatenate(p), loosen(own["w"])
+            order = np.argsort(w)
+            low = p[order][np.searchsorted(w[order], mine)].astype(float)
+            many = loosen(own["nv"]).astype(np.int64)
+            c, begin = loosen(own["c"]), np.cumsum(many) - many
+            total, left = _mass(c, begin, d2)
+            p2 = _less(c, d2) / np.repeat(total, many) + np.repeat(left, many) * low
+            turns = _turn(K.mix(loosen(own["v"], True)), TURNS)
+            for turn in range(TURNS):
+                vs = turns == turn
+                bi = np.repeat(vs, many)
+                yield _rows(_PROBABLE, (own["part"], turn, squeeze(loosen(own["v"], True)[vs], True), squeeze(many[vs]), squeeze(loosen(own["w"])[bi]), *(squeeze(_bits(-np.log2(x))) for x in (low[bi], p2[bi], left[vs]))))
+
+    table = single.select("part", F.lit(-1).alias("back"), "w", F.col("c").alias("p"))
+    answers = _reduce(bigrams.mapInArrow(ask, _schema("part back w p")).unionByName(table), shards, answer, "part back w p", ("back",))
+    both = answers.unionByName(bigrams.select("part", "v", "nv", "w", "c"), allowMissingColumns=True)
+    return _reduce(both, shards, merge, _PROBABLE)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.maximum(x, 0) * SCALE).astype(U)
+
+
+def _dealt(kind: int, keys: np.ndarray, bits: np.ndarray, shards: int) -> Iterator[tuple]:
+    """Weights of n-grams, dealt to their shards; those of 0 need none."""
+    keys, bits = keys[some := bits > 0], bits[some]
+    order = np.argsort(keys)
+    keys, bits = keys[order], bits[order]
+    for s, at in _parts(keys, shards):
+        yield s, kind, squeeze(keys[at] >> U(24), True), squeeze(bits[at])
+
+
+_WEIGHTS, _TABLE = "part kind keys bits", "part turn kind keys bits"
+
+
+def _gather(rows: DataFrame, shards: int) -> DataFrame:
+    """Weights of a shard, one row for each turn and kind of n-gram."""
+
+    def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[dict]] = {}
+        part = 0
+        for r in rows:
+            part = r["part"]
+            by.setdefault(r["kind"], []).append(r)
+        for kind, own in by.items():
+            keys, bits = _joined(own, "keys", True), _joined(own, "bits")
+            order = np.argsort(keys)
+            keys, bits = keys[order], bits[order]
+            turns = keys.astype(np.uint16) % np.uint16(PASSES)
+            for turn in range(PASSES):
+                yield _rows(_TABLE, (part, turn, kind, squeeze(keys[mine := turns == turn], True), squeeze(bits[mine])))
 
-    return counts.mapInArrow(deal_out, "shard int, w binary, c binary").repartitionById(shards, "shard").mapInArrow(add, "shard int, data binary")
+    return _reduce(rows, shards, run, _TABLE)
 
 
-def _often(rows: DataFrame, name: str) -> list[int]:
-    """How many n-grams are seen once, twice, three and four times, how many there are, and the sum of their counts."""
+def _low_weights(probable: DataFrame, single: DataFrame, shards: int, p1, unseen: float) -> DataFrame:
+    """Weights of words and bigrams, and of words as contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            c = _unpacked(r["data"])[name]
-            yield S.batch([("n", pa.list_(pa.int64()))], [([*(int((c == i).sum()) for i in range(1, 5)), len(c), int(c.sum())],)])
+            v, many = loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)
+            low, p, left = (loosen(r[x]).astype(np.int64) for x in ("low", "p", "left"))
+            step = np.maximum(low + np.repeat(left, many) - p, 0)
+            yield _rows(_WEIGHTS, *_dealt(UNI_CONTEXT, K.mix(v), left, shards), *_dealt(BI, K.follow(np.repeat(v, many), loosen(r["w"])), step, shards))
 
-    got = rows.mapInArrow(run, "n array<long>").agg(*(F.sum(F.col("n")[i]) for i in range(6))).first()
-    return [int(x or 0) for x in got]
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            yield _rows(_WEIGHTS, *_dealt(UNI, K.mix(loosen(r["w"], True)), _bits(np.log2(p1(loosen(r["c"]))) - np.log2(unseen)), shards))
 
+    return _gather(probable.mapInArrow(of_bigrams, _schema(_WEIGHTS)).unionByName(single.mapInArrow(of_words, _schema(_WEIGHTS))), shards)
 
-def _discounts(often: list[int]) -> np.ndarray:
-    """Discounts of n-grams seen once, twice and more often."""
-    n1, n2, n3, n4 = often[:4]
-    if not (n1 and n2 and n3):
-        return np.array([0.5, 0.75, 0.9])  # too few to tell
-    y = n1 / (n1 + 2 * n2)
-    return np.array([min(max(i - (i + 1) * y * b / a, 0.1), float(i)) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)])
+
+def _high_weights(trigrams: DataFrame, probable: DataFrame, shards: int, turn: int, d3: np.ndarray) -> DataFrame:
+    """Weights of trigrams, and of bigrams as contexts, of the trigrams of this turn: they go to where v belongs and stream past its bigrams."""
+    names = "part back v nv u nu w c p"
+
+    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in S.rows(batches):
+            v, many = loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)
+            u, size, w, c = loosen(r["u"]), loosen(r["nu"]).astype(np.int64), loosen(r["w"]), loosen(r["c"])
+            at, begin = np.cumsum(many) - many, np.cumsum(size) - size
+            out = []
+            for s, own in _parts(K.mix(v), shards):
+                uv = K.ragged(at[own], many[own])
+                tri = K.ragged(begin[uv], size[uv])
+                out.append((s, 1, squeeze(v[own], True), squeeze(many[own]), squeeze(u[uv]), squeeze(size[uv]), squeeze(w[tri]), squeeze(c[tri]), None))
+            yield _rows(names, *out)
+
+    def weigh(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        keys = p2 = None
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                uv, left, tri, step = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield _rows(_WEIGHTS, *_dealt(BI_CONTEXT, uv, left, shards), *_dealt(TRI, tri, step, shards))
+                held, size = [], 0
+
+        for r in rows:  # the bigrams come first
+            if not r["back"]:
+                keys = K.follow(np.repeat(loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)), loosen(r["w"]))
+                order = np.argsort(keys)
+                keys, p2 = keys[order], np.exp2(loosen(r["p"])[order].astype(float) / -SCALE)
+                continue
+            v, u, begin, many, w, c = _opened(r)
+            total, left = _mass(c, begin, d3)
+            low = p2[np.searchsorted(keys, K.follow(np.repeat(v, many), w))]
+            p = _less(c, d3) / np.repeat(total, many) + np.repeat(left, many) * low
+            uv = K.follow(u, v)
+            held.append((uv, _bits(-np.log2(left)), K.follow(np.repeat(uv, many), w), _bits(np.log2(p) - np.log2(low) - np.repeat(np.log2(left), many))))
+            size += len(w)
+            if size > AT_ONCE:  # a very frequent v goes on in parts
+                yield from flush()
+        yield from flush()
+
+    table = probable.where(F.col("turn") == turn).select("part", F.lit(0).alias("back"), "v", "nv", "w", "p")
+    both = trigrams.mapInArrow(deal_out, _schema(names)).unionByName(table, allowMissingColumns=True)
+    return _gather(_reduce(both, shards, weigh, _WEIGHTS, ("back",)), shards)
 
 
 @dataclass
 class Model:
-    """Count tables in shards (kind 'grams' and 'words'), discounts by order, the sum of the words' counts, and an unseen word's probability."""
+    """Weights of n-grams in shards, how many bigrams there are, and an unseen word's probability."""
 
-    tables: DataFrame
-    d3: np.ndarray
-    d2: np.ndarray
-    d1: np.ndarray
+    weights: DataFrame
+    shards: int
     total: int
     unseen: float
 
-    def probabilities(self) -> Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """From a row of tables: keys of n-grams, their discounted probability after their context, and the mass that they leave as a context (nan where they have none)."""
-        d3, d2, d1, total = self.d3, self.d2, self.d1, self.total
-
-        def of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            d = _unpacked(r["data"])
-            less = lambda c, discount: c - discount[np.minimum(c, 3) - 1]
-            if r["kind"] == "words":
-                return d["w"], less(d["c"], d1) / total, np.full(len(d["w"]), np.nan)
-            p3, p2 = less(d["c3"], d3) / d["t3"][d["at3"]], less(d["c2"], d2) / d["t2"][d["at2"]]
-            g3, g2 = d3 @ d["o3"] / d["t3"], d2 @ d["o2"] / d["t2"]
-            none = np.full(len(g3) + len(g2), np.nan)
-            return np.concatenate([d["k3"], d["k2"], d["x3"], d["x2"]]), np.concatenate([p3, p2, none]), np.concatenate([np.full(len(p3) + len(p2), np.nan), g3, g2])
-
-        return of
 
-
-def train(trusted: DataFrame | S.Blocks, ids: DataFrame | None = None) -> Model:
+def train(trusted: DataFrame | S.Blocks, ids: DataFrame | None = None, shards: int | None = None) -> Model:
     """An interpolated modified Kneser-Ney model of trigrams, of all documents or those that ids holds; lower orders count how many different words stand before."""
     blocks = trusted if isinstance(trusted, S.Blocks) else S.blocks(trusted)
-    shards = S.parts(blocks.rows.sparkSession)
-    grams = S.cut(_counts(blocks, shards, None if ids is None else _chosen(blocks, ids)))
-    words = S.cut(_words(grams, shards))
-    o1 = _often(words, "c")
-    d1 = _discounts(o1)
-    left = d1 @ [o1[0], o1[1], o1[4] - o1[0] - o1[1]] / o1[5] if o1[5] else 1.0
-    kind = lambda df, k: df.select("shard", "data", F.lit(k).alias("kind"))
-    return Model(kind(grams, "grams").unionByName(kind(words, "words")), _discounts(_often(grams, "c3")), _discounts(_often(grams, "c2")), d1, o1[5], float(left) / (o1[4] + 1))
+    shards = shards or S.parts(blocks.rows.sparkSession)
+    chosen = None if ids is None else _marked(blocks, ids)
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    counted = [S.cut(_trigrams(blocks, shards, i, chosen)) for i in range(TURNS)]
+    trigrams = union(counted)
+    bigrams = S.cut(_bigrams(trigrams, shards))
+    single = S.cut(_words(bigrams, shards))
+    often = _summed(single)
+    d1, d2, d3 = _discounts(often), _discounts(_summed(bigrams)), _discounts(_summed(trigrams))
+    left = d1 @ [often[0], often[1], often[4] - often[0] - often[1]] / often[5] if often[5] else 1.0
+    unseen = float(left) / (often[4] + 1)
+    p1 = lambda c: _less(c, d1) / often[5] + unseen
+    probable = S.cut(_probable(bigrams, single, shards, p1, d2))
+    S.free(bigrams)
+    weights = [S.cut(_low_weights(probable, single, shards, p1, unseen))]
+    for i, own in enumerate(counted):
+        weights.append(S.cut(_high_weights(own, probable, shards, i, d3)))
+        S.free(own)
+    S.free(single, probable)
+    return Model(union(weights), shards, often[5], unseen)
+
+
+def _grams(w: np.ndarray, first: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Keys and documents of words, bigrams and trigrams; a document's number is doubled, and one more for the n-gram that ends it and so is no context.
+
+    Each word and bigram counts as predicted and as a context; the start is added as a context that nothing predicts.
+    """
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    doc = np.repeat(2 * np.arange(len(size)), size)
+    u, v = before(w, first)
+    vw = K.follow(v, w)
+    start, pair = (np.full(len(some), x[0], U) for x in (K.mix(np.array([_BOS])), K.follow(np.array([_BOS]), np.array([_BOS]))))
+    tri = K.follow(K.follow(u, v), w), doc
+    ends = doc.copy()
+    ends[first[1:][some] - 1] += 1
+    return (np.concatenate([K.mix(w), start]), np.concatenate([ends, 2 * some])), (np.concatenate([vw, pair]), np.concatenate([ends, 2 * some])), tri
 
 
-def _filter(model: Model) -> Broadcast:
-    """A bit for each hash of BITS bits that the model has; its size doesn't depend on the model."""
-    part, of = 1 << (BITS - PARTS.bit_length() + 1), model.probabilities()
+#: Weights of words, bigrams and trigrams as predicted, and as contexts.
+_COUNTS = ((UNI, UNI_CONTEXT), (BI, BI_CONTEXT), (TRI, None))
+#: Rows of kind -1 hold what is known of a block's documents.
+_ASKS, _ANSWERS = "part kind block keys docs n many times ids tags size", "block sums ids tags size"
 
-    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
-            at = np.unique((of(r)[0] >> U(64 - BITS)).astype(np.int64))
-            cuts = np.searchsorted(at, np.arange(PARTS + 1) * part)
-            yield S.batch([("p", pa.int32()), ("at", pa.binary())], [(p, K.blob((at[a:b] % part).astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for r in S.rows(batches):
-            bits.setdefault(r["p"], np.zeros(part, bool))[np.frombuffer(r["at"], np.uint32)] = True
-        for p, x in bits.items():
-            yield S.batch([("p", pa.int32()), ("bits", pa.binary())], [(p, K.blob(np.packbits(x)))])
+def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
+    """block, sums: for each document the weights of its n-grams of this turn; and in the first turn ids, tags, size: its id, tag and number of words."""
+    shards = model.shards
 
-    rows = model.tables.mapInArrow(deal_out, "p int, at binary").repartitionById(PARTS, "p").mapInArrow(gather, "p int, bits binary").collect()
-    out = np.zeros((PARTS, part // 8), np.uint8)
-    for r in rows:
-        out[r.p] |= np.frombuffer(r.bits, np.uint8)
-    return model.tables.sparkSession.sparkContext.broadcast(out.reshape(-1))
+    def ask(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            ids, raw, off = S.unpack(r)
+            w, first = words(raw, off)
+            if not turn:
+                yield _rows(_ASKS, (r["block"] % shards, -1, r["block"], None, None, None, None, None, K.blob(ids), r["tags"], K.blob(np.diff(first))))
+            for kind, (keys, docs) in enumerate(_grams(w, first)):
+                mine = np.flatnonzero(_turn(keys, PASSES) == turn)
+                keys, docs, out = keys[mine], docs[mine], []
+                for s, at in _parts(keys, shards):
+                    both = np.sort(((keys[at] >> U(24)) << U(17)) | docs[at].astype(U))  # a block has at most 2 ** 16 documents
+                    new = K.changes(both)
+                    own = both[new]
+                    key = own >> U(17)
+                    first = K.changes(key)
+                    out.append((s, kind, r["block"], squeeze(key[first], True), squeeze(own & U(0x1FFFF)), [len(off) - 1], squeeze(np.diff(first, append=len(own))), squeeze(np.diff(new, append=len(both))), None, None, None))
+                if out:
+                    yield _rows(_ASKS, *out)
+
+    def answer(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[dict]] = {}
+        for r in rows:
+            if r["block"] is None:  # the weights come first
+                held.setdefault(r["kind"], []).append(r)
+                continue
+            if r["kind"] < 0:
+                yield _rows(_ANSWERS, (r["block"], None, r["ids"], r["tags"], r["size"]))
+                continue
+            if held:
+                for kind, own in held.items():
+                    keys, bits = _joined(own, "keys", True), _joined(own, "docs")
+                    order = np.argsort(keys)
+                    tables[kind] = keys[order], bits[order].astype(np.int64)
+                held = {}
+            keys, docs, many = loosen(r["keys"], True), loosen(r["docs"]).astype(np.int64), loosen(r["many"]).astype(np.int64)
+            found = np.zeros(len(docs), np.int64)
+            for kind, each in zip(_COUNTS[r["kind"]], (1, (docs & 1) - 1), strict=True):
+                if kind in tables:
+                    have, bits = tables[kind]
+                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                    found += np.repeat(np.where(have[at] == keys, bits[at], 0), many) * each
+            if found.any():
+                sums = np.bincount(docs >> 1, found * loosen(r["times"]).astype(np.int64), r["n"][0]).astype(np.int64)
+                yield _rows(_ANSWERS, (r["block"], squeeze((sums << 1) ^ (sums >> 63)), None, None, None))
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, np.ndarray] = {}
+        for r in S.rows(batches):
+            if r["sums"] is None:
+                yield _rows(_ANSWERS, (r["block"], None, r["ids"], r["tags"], r["size"]))
+            else:
+                z = loosen(r["sums"]).astype(np.int64)
+                by[r["block"]] = by.get(r["block"], 0) + ((z >> 1) ^ -(z & 1))
+        for block, sums in by.items():
+            yield _rows(_ANSWERS, (block, K.blob(sums), None, None, None))
 
-def _known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> U(64 - BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    mine = model.weights.where(F.col("turn") == turn).select("part", "kind", F.lit(None).cast("long").alias("block"), "keys", F.col("bits").alias("docs"))
+    asked = blocks.map(ask, _schema(_ASKS)).unionByName(mine, allowMissingColumns=True)
+    answers = _reduce(asked, shards, answer, _ANSWERS, ("block",))  # nulls first
+    return answers.repartition(S.parts(model.weights.sparkSession), "block").mapInArrow(add, _schema(_ANSWERS))
 
 
 def perplexity(docs: DataFrame | S.Blocks, model: Model, tag: str = "lang") -> DataFrame:
     """doc_id, tag, n_words, bits: length and negative log2 probability of every document.
 
-    The n-grams of each block of documents that the filter lets through meet the shards of the count table, each once for a
-    block, and come back with probabilities. Within a shard 32 bits of the hash name an n-gram.
+    Weights are rounded to 1 / SCALE bit, so bits are off by at most 4 / SCALE a word; 40 bits of a hash name an n-gram in its
+    shard, so about one in a million that the model lacks is taken for one that it has.
     """
     blocks = docs if isinstance(docs, S.Blocks) else S.blocks(docs.select("doc_id", "text", tag), tag)
-    spark = blocks.rows.sparkSession
-    shards, bits, of, unseen = S.parts(spark), _filter(model), model.probabilities(), model.unseen
 
-    def looked_up(r: dict) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-        """n-grams of a block in five columns, which of them the filter knows, and those once each."""
-        ids, raw, off = S.unpack(r)
-        h, _, _, first = K.words(raw, off, signs=True)
-        cols = list(ngrams(h, first))
-        known = [_known(bits.value, x) for x in cols]
-        return cols, known, np.unique(np.concatenate([x[k] for x, k in zip(cols, known, strict=True)])), first
-
-    def ask(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            keys = looked_up(r)[2]
-            if len(keys):
-                yield S.batch([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("g", pa.binary())], [(s, r["block"], K.blob((keys[at] >> U(5)).astype(np.uint32)), None, None) for s, at in deal(keys, shards)])
-
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
-            keys, p, g = of(r)
-            yield S.batch([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("g", pa.binary())], [(s, None, K.blob((keys[at] >> U(5)).astype(np.uint32)), K.blob(p[at].astype(np.float32)), K.blob(g[at].astype(np.float32))) for s, at in deal(keys, shards)])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, known = [], []
-        for r in S.rows(batches):
-            (known if r["block"] is None else asked).append(r)
-        for shard in {r["shard"] for r in asked}:
-            own = [r for r in known if r["shard"] == shard]
-            keys, inverse = np.unique(np.concatenate([np.array([0xFFFFFFFF], np.uint32), *(np.frombuffer(r["keys"], np.uint32) for r in own)]), return_inverse=True)
-            p, g = np.full(len(keys), np.nan, np.float16), np.full(len(keys), np.nan, np.float16)
-            for name, x in (("p", p), ("g", g)):
-                value = np.concatenate([np.full(1, np.nan, np.float32), *(np.frombuffer(r[name], np.float32) for r in own)])
-                fine = ~np.isnan(value)
-                x[inverse[fine]] = np.log2(value[fine])
-            out = []
-            for r in asked:
-                if r["shard"] == shard:
-                    want = np.frombuffer(r["keys"], np.uint32)
-                    at = np.searchsorted(keys, want)
-                    miss = keys[at] != want
-                    pg = np.stack([p[at], g[at]])
-                    pg[:, miss] = np.nan
-                    out.append((r["block"], shard, K.blob(pg)))
-            yield S.batch([("block", pa.int64()), ("shard", pa.int32()), ("pg", pa.binary())], out)
-
-    schema = "shard int, block long, keys binary, p binary, g binary"
-    answers = blocks.map(ask, schema).unionByName(model.tables.mapInArrow(table, schema)).repartitionById(shards, "shard").mapInArrow(answer, "block long, shard int, pg binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "pg")).alias("answers"))
+    per_word = -np.log2(model.unseen)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            cols, known, keys, first = looked_up(r)
-            p, g = np.full(len(keys), np.nan, np.float32), np.full(len(keys), np.nan, np.float32)
-            got = {x["shard"]: np.frombuffer(x["pg"], np.float16).reshape(2, -1) for x in r["answers"] or ()}
-            for s, at in deal(keys, shards):
-                p[at], g[at] = got[s]
-            p, g = np.where(np.isnan(p), 0, np.exp2(p)), np.where(np.isnan(g), 1, np.exp2(g))
-
-            def of(i: int, x: np.ndarray, otherwise: float) -> np.ndarray:
-                out = np.full(len(known[i]), float(otherwise))
-                out[known[i]] = x[np.searchsorted(keys, cols[i][known[i]])]
-                return out
-
-            total = of(0, p, 0) + unseen
-            total = of(2, p, 0) + of(1, g, 1) * total
-            total = of(4, p, 0) + of(3, g, 1) * total
-            bits_ = np.concatenate([[0.0], np.cumsum(-np.log2(total))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(r["tags"], pa.string()), pa.array(np.diff(first)), pa.array(np.diff(bits_[first]))], names=["doc_id", "tag", "n_words", "bits"])
+            if r["ids"] is None:
+                raise RuntimeError("the input was cut into other blocks when it was read again")
+            size = np.frombuffer(r["size"], np.int64)
+            sums = sum((np.frombuffer(x, np.int64) for x in r["sums"] or ()), np.zeros(len(size), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(r["tags"], pa.string()), pa.array(size), pa.array(size * per_word - sums / SCALE)], names=["doc_id", "tag", "n_words", "bits"])
 
-    return S.cut(blocks.rows.join(answers, "block", "left").mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
+    scored = reduce(DataFrame.unionByName, [S.cut(_scored(blocks, model, i)) for i in range(PASSES)])
+    known = scored.groupBy("block").agg(*(F.any_value(x, True).alias(x) for x in ("ids", "tags", "size")), F.collect_list("sums").alias("sums"))  # PASSES rows a block
+    return S.cut(known.mapInArrow(score, "doc_id long, tag string, n_words long, bits double"))
 
 
 def quality_classifier(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: float = PRIOR) -> DataFrame:
@@ -320,14 +540,22 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, quantile: float = QU
 
     trusted: doc_id of documents whose text is trusted. Those whose hash three divides are held out, all others train one model.
     All held-out documents of a language give its median and quantile, counted by values of four decimals, which bounds what a
-    task holds; a language without any takes those of all. Perplexity is
-    by word, with prior words of the language's median. Null and empty texts have no words: perplexity is null, keep is false.
-    Rows with a null doc_id take no part; a null lang is a language; repeated rows are judged each; without trusted text nothing can be judged and all
-    documents with words stay. An empty table gives no rows.
+    task holds; a language without any takes those of all. Perplexity is by word, with prior words of the language's median.
+    Null and empty texts have no words: perplexity is null, keep is false. Rows with a null doc_id take no part; a null lang is a
+    language, and an empty one is taken as null; repeated rows are judged each; without trusted text nothing can be judged and
+    all documents with words stay. Other columns are left out, whatever their names. An empty table gives no rows.
     """
     ids, held_out = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    blocks = S.blocks(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), "lang")
-    scored = perplexity(blocks, train(blocks, ids.where(~held_out))).withColumnRenamed("tag", "lang")
+    named = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    blocks = S.blocks(named, "lang")
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    shards = max(1, -(-(size or 0) // SHARD), min(FEW, -(-(size or 0) // SMALL)))
+    learnt = ids.where(~held_out)
+    if count <= 8 * MOST_BITS:
+        model = train(blocks, learnt, shards)
+    else:  # a bit for each document is too much for every task
+        model = train(named.join(learnt, "doc_id", "left_semi"), None, shards)
+    scored = perplexity(blocks, model).withColumnRenamed("tag", "lang")
     held = scored.join(ids.where(held_out), "doc_id", "left_semi")
     held = held.where("n_words > 0").withColumn("each", F.round(F.col("bits") / F.col("n_words"), 4))
     usual = held.groupBy("lang").agg(F.median("each").alias("usual"))

@@ -37,13 +37,35 @@ def hold(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df behind a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where none is set, as in tests)."""
-    hold(df.sparkSession)
-    sc = df.sparkSession.sparkContext
+#: Shuffle files go as soon as the query that wrote them has ended, instead of when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df behind a reliable checkpoint in spark.checkpoint.dir (a temporary folder only on a local master where none is set, as in tests)."""
+    spark = df.sparkSession
+    hold(spark)
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager)
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def free(*dfs: DataFrame) -> None:
+    """Deletes the checkpoints that hold dfs, which nothing may read from now on."""
+    for df in dfs:
+        jvm, rdd = df.sparkSession._jvm, df._jdf.queryExecution().analyzed().rdd()
+        if rdd.getCheckpointFile().isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:
