@@ -133,9 +133,9 @@ def _frequent(tokens: DataFrame, shards: int) -> DataFrame:
 
 
 def _documents(frequent: DataFrame, percent: int, half: bool) -> DataFrame:
-    """doc_id, block, n, fa, fb; and for documents that could have a partner: prefix tokens and their places, group key."""
+    """doc_id, block, at (place in the block), n, fa, fb; and for documents that could have a partner: prefix tokens and their places, group key."""
     rows = frequent.groupBy("block").agg(F.max("info").alias("info"), F.collect_list(F.when(F.col("tokens").isNotNull(), F.struct("tokens", "freq"))).alias("shared"))
-    names = ["doc_id", "block", "n", "fa", "fb", "ga", "gb", "tokens", "places"]
+    names = ["doc_id", "block", "at", "n", "fa", "fb", "ga", "gb", "tokens", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
@@ -170,10 +170,10 @@ def _documents(frequent: DataFrame, percent: int, half: bool) -> DataFrame:
             toks = [K.blob(tok[at[i] : at[i] + have[i]]) if open_[i] else None for i in range(len(ids))]
             places = [K.blob(place[at[i] : at[i] + have[i]].astype(np.int32)) if open_[i] else None for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(np.full(len(ids), r["block"])), *map(pa.array, (size, fa, fb, ga, gb)), pa.array(toks, pa.binary()), pa.array(places, pa.binary())], names=names
+                [pa.array(ids), pa.array(np.full(len(ids), r["block"])), pa.array(np.arange(len(ids), dtype=np.int32)), *map(pa.array, (size, fa, fb, ga, gb)), pa.array(toks, pa.binary()), pa.array(places, pa.binary())], names=names
             )
 
-    return rows.mapInArrow(run, "doc_id long, block long, n long, fa long, fb long, ga long, gb long, tokens binary, places binary")
+    return rows.mapInArrow(run, "doc_id long, block long, at int, n long, fa long, fb long, ga long, gb long, tokens binary, places binary")
 
 
 def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> DataFrame:
@@ -198,7 +198,7 @@ def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> D
             yield S.batch(schema, [(s, *map(K.blob, (tok[by[x:y]], g[by[x:y]], n[by[x:y]], label[by[x:y]], place[by[x:y]], own[by[x:y]]))) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x])
 
     def pairs(tok, g, n, label, place, own) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((g, own, tok) if chains else (g, n, tok))
+        order = np.lexsort((g, own, tok) if chains else (g, label, tok))
         tok, g, n, label, place = tok[order], g[order], n[order], label[order], place[order].astype(np.int64)
 
         def emit(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -217,18 +217,17 @@ def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> D
             pivot = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(tok)), 0)) if len(tok) else i
             yield emit(np.concatenate([i, pivot[i + 1]]), np.concatenate([i + 1, i + 1]))
             return
-        begin = np.flatnonzero(np.append(True, ~same)) if len(tok) else np.zeros(0, np.int64)
-        end = np.append(begin[1:], len(tok))
-        until = np.repeat(end, end - begin)
-        # partners are at most 100 / percent times as large; lists are in order of size
-        step = 1 << 20
-        far = np.searchsorted(np.repeat(np.arange(len(begin)), end - begin) * (1 << 40) + n, np.repeat(np.arange(len(begin)), end - begin) * (1 << 40) + n * 100 // percent, "right")
-        count = np.minimum(until, far) - np.arange(len(tok)) - 1
-        load, a = np.cumsum(count), 0
+        # each is compared with those of its list that have a larger label, so a large component costs nothing by itself
+        run = K.changes(tok, label) if len(tok) else np.zeros(0, np.int64)
+        size = np.diff(run, append=len(tok))
+        after = np.repeat(run + size, size)
+        ends = K.changes(tok) if len(tok) else run
+        size = np.diff(ends, append=len(tok))
+        count = np.repeat(ends + size, size) - after
+        step, load, a = 1 << 20, np.cumsum(count), 0
         while a < len(tok):
             b = max(a + 1, int(np.searchsorted(load, (load[a - 1] if a else 0) + step, "right")))
-            i = np.repeat(np.arange(a, b), count[a:b])
-            yield emit(i, K.ragged(np.arange(a, b) + 1, count[a:b]))
+            yield emit(np.repeat(np.arange(a, b), count[a:b]), K.ragged(after[a:b], count[a:b]))
             a = b
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,18 +243,17 @@ def _candidates(groups: DataFrame, shards: int, percent: int, chains: bool) -> D
 
 
 def _sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """block, ids, sizes, hashes: the whole sets of wanted (block, item)."""
+    """block, ids, sizes, hashes: the whole sets of wanted (block, at), named by their items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in S.rows(batches):
-            ids, raw, off = S.unpack(r)
-            own = np.flatnonzero(np.isin(ids, np.array(r["items"])))
-            own = own[np.unique(ids[own], return_index=True)[1]]
+            _, raw, off = S.unpack(r)
+            own, ids = np.array(r["at"], np.int64), np.array(r["items"], np.int64)
             size = np.diff(off)[own]
             h, many = shingles(raw[K.ragged(off[own], size)], np.concatenate([[0], np.cumsum(size)]), words)
-            yield S.batch([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())], [(r["block"], K.blob(ids[own]), K.blob(many.astype(np.int64)), K.blob(h))])
+            yield S.batch([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())], [(r["block"], K.blob(ids), K.blob(many.astype(np.int64)), K.blob(h))])
 
-    by_block = wanted.groupBy("block").agg(F.collect_list("item").alias("items"))
+    by_block = wanted.groupBy("block").agg(F.collect_list(F.struct("at", "item")).alias("w")).select("block", F.col("w.at").alias("at"), F.col("w.item").alias("items"))
     return by_block.join(blocks, "block", "left").mapInArrow(run, "block long, ids binary, sizes binary, hashes binary")
 
 
@@ -300,16 +298,18 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     lists; a last one compares all candidates that aren't in one component yet, so no link between components is missed and a
     large group of near copies doesn't cost a comparison for each pair.
     Words are split at white space, A-Z lower-cased. Null and empty texts have no shingles and no links; rows with a null doc_id
-    take no part; rows repeating a doc_id are compared like others; an empty table gives no rows.
+    take no part; rows repeating a doc_id are compared like others, whatever their texts, and each gives a row; other columns are
+    left out, whatever their names; an empty table gives no rows.
     """
     blocks = S.blocks(docs.select("doc_id", "text"))
     shards = S.shards(docs)
     found = S.cut(_documents(_frequent(_tokens(blocks, _of_text(words), shards, percent, True), shards), percent, True))
-    items = S.cut(found.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("item")))
+    items = S.cut(found.where("n > 0").groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "block", "at")).alias("home")))
+    items = S.cut(items.select("n", "fa", "fb", "home", F.monotonically_increasing_id().alias("item")))
     # those that could have a partner are counted again, among themselves and with all their tokens
-    maybe = found.where("tokens is not null").join(items, ["n", "fa", "fb"]).where("doc_id = item").select("block", "item")
+    maybe = found.where("tokens is not null").join(items, ["n", "fa", "fb"]).where("block = home.block and at = home.at").select("block", "at", "item")
     sets = S.cut(_sets(blocks.rows, maybe, words))
-    again = S.cut(_documents(_frequent(_tokens(S.Blocks(sets), _of_sets, shards, percent, False), shards), percent, False).where("tokens is not null").dropDuplicates(["doc_id"]))
+    again = S.cut(_documents(_frequent(_tokens(S.Blocks(sets), _of_sets, shards, percent, False), shards), percent, False).where("tokens is not null"))
     members = again.withColumnRenamed("doc_id", "item").join(again.groupBy("n", "ga", "gb").agg(F.min("doc_id").alias("g")), ["n", "ga", "gb"])
     own = F.col("item") == F.col("g")
     members = S.cut(members.select("item", "n", "g", F.when(own, F.col("tokens")).alias("tokens"), F.when(own, F.col("places")).alias("places")))
@@ -329,11 +329,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rest = S.cut(_verified(more, _each(sets), percent))
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
-    return (
-        found.select("doc_id", "n", "fa", "fb")
-        .join(items.join(labels.withColumnRenamed("v", "item"), "item", "left").select("n", "fa", "fb", F.coalesce("label", "item").alias("label")), ["n", "fa", "fb"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
-    )
+    named = items.join(labels.withColumnRenamed("v", "item"), "item", "left").select("n", "fa", "fb", "home.doc_id", F.coalesce("label", "item").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(lowest, "label").select("n", "fa", "fb", "component_id")
+    return found.select("doc_id", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,4 +155,11 @@ def test_digest_queries(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(op6.op6_suffix_array_dedup(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, n, n - len(k), len(s), sha(k)) for i, n, s, k in cut_bytes(docs, 100)), key=str)
     assert rows(op9.op9_substring_dedup(spark, sf_dir), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(((i, n, g, sha(k)) for i, n, g, k in cut_words(docs, 13)), key=str)
-    assert F is not None
+
+
+def test_rows_that_share_a_doc_id_are_compared_like_others(spark):
+    docs = [(5, "a b c d e f g h i j"), (5, "q r s t u v w x y z"), (7, "q r s t u v w x y z k"), (9, "a b c d e f g h i j k")]
+    for parts in (1, 3):
+        assert rows(op2.jaccard_join(frame(spark, docs, parts)), "doc_id", "component_id") == [(5, 5), (5, 5), (7, 5), (9, 5)]
+    docs = [(3, "a b c d e f g h i j"), (4, "q r s t u v w x y z"), (4, "a b c d e f g h i j k"), (6, None), (6, ""), (8, "q r s t u v w x y z k")]
+    assert rows(op2.jaccard_join(frame(spark, docs)), "doc_id", "component_id") == [(3, 3), (4, 3), (4, 4), (6, 6), (6, 6), (8, 4)]
