@@ -161,11 +161,19 @@ class Blocks:
         return self.rows.mapInArrow(lambda batches: run(rows(batches)), schema)
 
 
+def scan_only(df: DataFrame) -> bool:
+    """Whether df is a file scan with deterministic projections and filters, so that it comes out the same each time it's read."""
+
+    def fine(p) -> bool:
+        return p.nodeName() in ("Project", "Filter", "LogicalRelation", "SubqueryAlias", "Union") and p.deterministic() and all(fine(p.children().apply(i)) for i in range(p.children().size()))
+
+    return fine(df._jdf.queryExecution().optimizedPlan())
+
+
 def blocks(docs: DataFrame, tag: str | None = None) -> Blocks:
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Join", "Aggregate", "Repartition", "Sort", "Limit", "Window", "Sample", "Distinct", "rand(", "Rebalance")):
-        return Blocks(cut(pack(docs, tag)))
-    return Blocks(pack(docs, tag), docs, tag)
+    if scan_only(docs):
+        return Blocks(pack(docs, tag), docs, tag)
+    return Blocks(cut(pack(docs, tag)))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
