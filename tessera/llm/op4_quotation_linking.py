@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import spark as S
 
 _MARK = re.compile(r"(?:[ \t]{0,3}>)+ ?")
-_SAID = re.compile(r"(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s?:", re.I)
+_SAID = re.compile(r"(?:on|am|le|el)\b.*\b(?:wrote|schrieb|a écrit|escribió)\s?:", re.I)
 _GAP = re.compile(r"\s+")
 #: Turns of a conversation in one bucket of the search for the latest earlier message.
 BUCKET = 1024
