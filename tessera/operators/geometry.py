@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import sizes
@@ -48,10 +48,19 @@ def tile_differences(a: Column, b: Column, side: int, tile: int) -> Column:
 
 
 def extent(cells: DataFrame, sizes_: DataFrame, start: str, end: str) -> DataFrame:
-    """cells with extent: the sum of sizes_ (sheet, idx, emu) from start up to end; a range join by exploding, so it stays an equi-join."""
-    each = cells.withColumn("idx", F.explode(F.sequence(F.col(start), F.col(end) - 1)))
-    summed = each.join(sizes_, ["sheet", "idx"], "left").groupBy(*cells.columns).agg(F.sum(F.coalesce("emu", F.lit(0))).alias("extent"))
-    return summed
+    """cells with extent: the sum of sizes_ (sheet, idx, emu) from start up to end, 0 for an empty range.
+
+    Running sums of each sheet, taken at both ends: nothing is exploded, and repeated cells stay repeated.
+    """
+    ends = cells.select("sheet", F.explode(F.array(F.col(start).cast("bigint"), F.col(end).cast("bigint"))).alias("idx")).distinct()
+    marks = ends.select("sheet", "idx", F.lit(None).alias("emu"), F.lit(True).alias("end")).unionByName(sizes_.select("sheet", F.col("idx").cast("bigint").alias("idx"), "emu", F.lit(False).alias("end")))
+    before = F.sum("emu").over(Window.partitionBy("sheet").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1))
+    sums = marks.withColumn("before", F.coalesce(before, F.lit(0))).where("end").select("sheet", "idx", "before")
+    side = lambda at, name: sums.select(F.col("sheet").alias(f"_{name}_sheet"), F.col("idx").alias(f"_{name}_idx"), F.col("before").alias(f"_{name}"))
+    out = cells
+    for at, name in ((start, "low"), (end, "high")):
+        out = out.join(side(at, name), F.col("sheet").eqNullSafe(F.col(f"_{name}_sheet")) & (F.col(at) == F.col(f"_{name}_idx")), "left")
+    return out.select(*cells.columns, F.greatest(F.coalesce(F.col("_high") - F.col("_low"), F.lit(0)), F.lit(0)).alias("extent"))
 
 
 def placement_area(x0: str, y0: str, x1: str, y1: str) -> Column:
@@ -60,7 +69,5 @@ def placement_area(x0: str, y0: str, x1: str, y1: str) -> Column:
 
 def bounded_views(regions: DataFrame, by: str, page: str, order: str, pages: int = 100, most: int = 500) -> DataFrame:
     """The first so many regions of the first so many pages of each document; both are what a preview may show."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(by).orderBy(page, order))
     return regions.where(F.col(page) <= pages).withColumn("view", nth).where(F.col("view") <= most)
