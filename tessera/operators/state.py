@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import sizes
@@ -37,8 +37,13 @@ def lookup(state: DataFrame, keys: DataFrame, key: str = "source_path") -> DataF
     return state.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def upsert(state: DataFrame, updates: DataFrame, key: str = "source_path", defaults: dict[str, object] | None = None) -> DataFrame:
-    """state with its rows replaced by updates of the same key; columns that either lacks get a default or null. Write it to a new place, never to the one that state reads."""
+def upsert(state: DataFrame, updates: DataFrame, key: str = "source_path", defaults: dict[str, object] | None = None, order: str | None = None) -> DataFrame:
+    """state with its rows replaced by updates of the same key; columns that either lacks get a default or null. Of several updates
+    of a key the one with the largest order stays, or without one the largest by its columns from left to right. Write it to a new
+    place, never to the one that state reads."""
+    rest = F.struct(*(c for c in updates.columns if c != key))
+    last = updates.groupBy(key).agg(F.max(F.struct((F.col(order) if order else F.lit(0)).alias("by"), rest.alias("row"))).alias("last"))
+    updates = last.select(*(F.col(key) if c == key else F.col(f"last.row.{c}") for c in updates.columns))
     out = updates.unionByName(state.join(updates.select(key), key, "left_anti"), allowMissingColumns=True)
     return out.fillna({k: v for k, v in (defaults or {}).items() if k in out.columns})
 
@@ -74,8 +79,7 @@ def reuse_problems(max_w: int = 1280, max_h: int = 720, max_fps: float = 30.0, m
 
 def reuse(plan: DataFrame, previous: DataFrame) -> DataFrame:
     """plan (source_path, sha256, size) with the previous run's output where the source is the same and its record was a success; previous: source_path, source_sha256, source_size, output_sha256, action. A key that occurs twice voids all of previous."""
-    keyed = previous.withColumn("_n", F.count("*").over(Window.partitionBy(F.lower("source_path"))))
-    bad = keyed.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
-    good = keyed.crossJoin(F.broadcast(bad)).where("_most <= 1 and action in ('CONVERTED', 'SKIPPED_COMPLETE')")  # bad is one row
+    bad = previous.groupBy(F.lower("source_path")).agg(F.count("*").alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
+    good = previous.crossJoin(F.broadcast(bad)).where("_most <= 1 and action in ('CONVERTED', 'SKIPPED_COMPLETE')")  # bad is one row
     old = good.select("source_path", F.col("source_sha256").alias("sha256"), F.col("source_size").alias("size"), "output_sha256")
     return plan.join(old, ["source_path", "sha256", "size"], "left").withColumn("reused", F.col("output_sha256").isNotNull())
