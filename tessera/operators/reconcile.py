@@ -144,5 +144,6 @@ def undeclared(changes: DataFrame, declared: DataFrame, on: Sequence[str]) -> Da
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, counted as often as they stand there."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.select(*a.columns).withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return left.withColumn("side", F.explode(F.array_repeat(F.when(F.col("_n") > 0, "left").otherwise("right"), F.abs("_n").cast("int")))).drop("_n")
