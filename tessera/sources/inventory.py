@@ -12,7 +12,7 @@ def scan(spark: SparkSession, root: str, extensions: list[str], fingerprint: boo
     """path, relative, size, modified and, if wanted, sha256 of files below root with one of the extensions, in any case. Without the fingerprint no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*(e.lower() for e in extensions))
-    relative = F.regexp_replace("path", r"^(?:[a-z0-9]+:)?/*" + root.split(":", 1)[-1].strip("/").replace(".", r"\.") + "/", "")
+    relative = F.regexp_replace("path", r"^(?:[a-z0-9]+:)?/*\Q" + root.split(":", 1)[-1].strip("/").replace(r"\E", r"\E\\E\Q") + r"\E/", "")
     out = files.where(wanted).select("path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256")] if fingerprint else []))
     return out
 

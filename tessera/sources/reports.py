@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -30,15 +30,17 @@ _DEPTH = 8
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = (), exact: bool = False) -> DataFrame:
-    """All columns as text. Fields may hold line breaks and doubled quotes; a missing, unknown (if exact) or surplus column is an error."""
+    """All columns as text. Fields may hold line breaks and doubled quotes. A row with too few or too many fields has them in _corrupt;
+    a report that lacks a column, or has an unknown one (if exact), is one such row."""
     header = spark.read.option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path, header=True)
     names = header.columns
     missing, extra = set(required) - set(names), set(names) - set(required) - set(optional)
     if missing or (exact and extra):
-        raise ValueError(f"columns of {path}: missing {sorted(missing)}, unknown {sorted(extra)}")
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", "false").schema(schema).csv(path, header=True)
-    return rows.select(*names, *(F.lit(None).cast("string").alias(c) for c in optional if c not in names))
+        every = [*required, *optional]
+        return spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in every), F.lit(f"missing {sorted(missing)}, unknown {sorted(extra)}").alias("_corrupt"))
+    schema = StructType([StructField(n, StringType()) for n in [*names, "_corrupt"]])
+    rows = spark.read.option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path, header=True)
+    return rows.select(*names, "_corrupt", *(F.lit(None).cast("string").alias(c) for c in optional if c not in names))
 
 
 def whole(count: str, low: int = 0, required: bool = True) -> Column:
@@ -73,7 +75,9 @@ def one_of(column: str, words: Sequence[str]) -> Column:
 
 
 def accepted(rows: DataFrame, checks: Sequence[tuple[str, Column]], key: str | None = None) -> DataFrame:
-    """rows if every row passes every check and no key occurs twice; else none of them."""
+    """rows if every row is whole, passes every check and no key occurs twice; else none of them."""
+    if "_corrupt" in rows.columns:
+        checks = [*checks, ("fields", F.col("_corrupt").isNull())]
     bad = violations(checks)
     found = rows.agg(F.coalesce(F.max(F.size(bad)), F.lit(0)).alias("_bad"))
     if key:
@@ -81,7 +85,7 @@ def accepted(rows: DataFrame, checks: Sequence[tuple[str, Column]], key: str | N
         found = found.crossJoin(twice)  # both are one row
     else:
         found = found.withColumn("_most", F.lit(1))
-    return rows.crossJoin(F.broadcast(found)).where("_bad = 0 and _most <= 1").drop("_bad", "_most")  # found is one row
+    return rows.crossJoin(F.broadcast(found)).where("_bad = 0 and _most <= 1").drop("_bad", "_most", "_corrupt")  # found is one row
 
 
 def pdf_checks() -> list[tuple[str, Column]]:
@@ -177,9 +181,8 @@ def previous_manifest(spark: SparkSession, path: str, expected: dict[str, str])
     for name, value in expected.items():
         head = head.where(F.col(name) == value)
     rows = head.select(F.explode("results").alias("r")).select("r.*")
-    keyed = rows.withColumn("_n", F.count("*").over(Window.partitionBy(F.lower("source"))))
-    most = keyed.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
-    return keyed.crossJoin(F.broadcast(most)).where("_most <= 1 and action in ('CONVERTED', 'SKIPPED_COMPLETE')").drop("_n", "_most")  # most is one row
+    most = rows.groupBy(F.lower("source")).agg(F.count("*").alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most"))
+    return rows.crossJoin(F.broadcast(most)).where("_most <= 1 and action in ('CONVERTED', 'SKIPPED_COMPLETE')").drop("_most")  # most is one row
 
 
 def preview_manifest(spark: SparkSession, path: str, report: DataFrame) -> DataFrame:

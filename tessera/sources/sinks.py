@@ -56,6 +56,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Renames a file over target in one step, so that target is there at every moment."""
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, how)
+
+
 def point(spark: SparkSession, root: str, version: str) -> None:
     """Makes version the current one of root, by renaming a finished pointer file into place."""
     fs, target = _fs(spark, f"{root.rstrip('/')}/CURRENT")
@@ -63,10 +71,7 @@ def point(spark: SparkSession, root: str, version: str) -> None:
     out = fs.create(temp, False)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(temp, target):
-        raise OSError(f"{target} could not be replaced")
+    _replace(spark, temp, target)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
@@ -133,10 +138,7 @@ def publish_file(spark: SparkSession, source: str, target: str, sha256: str | No
         spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, from_path, to_fs, to_path, False, spark.sparkContext._jsc.hadoopConfiguration())
         if digest(staged) != want or digest(source) != want:
             raise ValueError(f"{source} changed while it was copied")
-        if to_fs.exists(final):
-            to_fs.delete(final, False)
-        if not to_fs.rename(to_path, final):
-            raise OSError(f"{target} could not be written")
+        _replace(spark, to_path, final)
     finally:
         if to_fs.exists(to_path):
             to_fs.delete(to_path, False)
