@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import sizes
 from tessera.operators import collisions, reconcile
 from tessera.plans.inventory import files, load
 from tessera.plans.rules import cents
@@ -28,6 +29,53 @@ def report_violations(spark, sf_dir):
     return reconcile.reconcile(have, report, reconcile.pdf_rules("compact", False)).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def _sources(spark, sf_dir):
+    return files(spark, sf_dir).select(F.col("path").alias("source_path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"), "doc_id")
+
+
+def _codes(have, rows, rules):
+    report = rows.withColumnsRenamed({"size": "source_size", "sha256": "source_sha256"}).drop("doc_id")
+    return reconcile.reconcile(have, report, rules).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def image_manifest_violations(spark, sf_dir):
+    """An image manifest with some rows tampered, held against the inventory."""
+    have, d = _sources(spark, sf_dir), F.col("doc_id")
+    error, copy = d % 3 == 2, d % 3 == 1
+    rows = have.where("doc_id % 50 <> 7").select(
+        "*", F.when(error, "ERROR").when(copy, "COPIED_ORIGINAL").otherwise("CONVERTED").alias("action"), F.when(error & (d % 26 != 2), "unreadable").otherwise("").alias("error"),
+        F.when(copy, F.col("size") - (d % 31 == 1).cast("int")).when(~error, F.call_function("div", F.col("size"), F.lit(2))).alias("output_size"), F.when(copy, F.col("sha256")).when(~error, "f").alias("output_sha256"),
+        F.when(d % 47 == 0, "png").otherwise("jpeg").alias("output_format"), F.lit(False).alias("strip_exif"), *(F.when(~error, F.lit(4000)).alias(c) for c in ("orig_width", "orig_height", "new_height")), F.when(~error, 50 + (d % 43 == 0).cast("int") * 9000).alias("new_width"),
+    )
+    return _codes(have, rows, reconcile.image_rules(4000, 4000, False))
+
+
+def video_report_violations(spark, sf_dir):
+    """A video report with some rows tampered, held against the inventory."""
+    have, d, size = _sources(spark, sf_dir), F.col("doc_id"), F.col("size")
+    kind = d % 4
+    rows = have.where("doc_id % 50 <> 7").withColumn("output_size", F.when(kind == 0, F.call_function("div", size, F.lit(2))).when(kind == 1, size - (d % 31 == 1).cast("int")).when(kind == 2, size)).select(
+        "*", F.when(kind == 0, "ADOPTED").when(kind == 1, "UNCHANGED").when(kind == 2, "SKIPPED_COMPLETE").otherwise("ERROR").alias("status"), F.when(kind == 0, "f").when(kind < 3, F.col("sha256")).alias("output_sha256"),
+        (F.coalesce(size - F.col("output_size"), F.lit(0)) + (d % 41 == 0).cast("int")).alias("saved_bytes"), sizes.saved_percent(size, F.col("output_size")).alias("saved_percent"), F.when((kind == 3) & (d % 27 != 3), "broken").otherwise("").alias("error_message"),
+        (640 + (d % 37 == 0).cast("int")).alias("width"), F.lit(360).alias("height"), (90.0 - (d % 29 == 0).cast("int") * 10).alias("vmaf_mean"), F.lit(75.0).alias("vmaf_p5"),
+    )
+    return _codes(have, rows, reconcile.video_rules(False))
+
+
+def workbook_report_violations(spark, sf_dir):
+    """A workbook report with some rows tampered, held against the inventory."""
+    have, d, size = _sources(spark, sf_dir), F.col("doc_id"), F.col("size")
+    adopted, error = d % 4 == 0, d % 4 == 2
+    parts = lambda *names: F.array(*map(F.lit, names))
+    told = F.array(*(F.struct(F.lit(p).alias("part"), F.lit("adopted").alias("outcome")) for p in ("p1", "p2")))
+    rows = have.where("doc_id % 50 <> 7").withColumn("changed_parts", F.when(adopted & (d % 23 == 0), parts("p1", "p1")).when(adopted, parts("p1", "p2")).otherwise(F.array().cast("array<string>"))).select(
+        "*", F.when(adopted, "ADOPTED_LOSSY").when(error, "ERROR").otherwise("PRESERVED_ORIGINAL").alias("status"), (F.size("changed_parts") + (d % 43 == 0).cast("int")).alias("images_changed"),
+        F.when(adopted, F.when(d % 29 == 0, size).otherwise(F.call_function("div", size, F.lit(2)))).when(error, F.when(d % 53 == 2, 5)).otherwise(size - (d % 31 == 1).cast("int")).alias("output_size"), F.when(adopted, "f").when(~error, F.col("sha256")).alias("output_sha256"),
+        F.when(adopted, told).otherwise(F.slice(told, 1, 0)).alias("image_diagnostics"), F.lit(True).alias("diagnostics_complete"),
+    )
+    return _codes(have, rows, reconcile.workbook_rules())
+
+
 def reconcile_ordinal(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("double").alias("n"))
     other = turns.where("not (conv_id % 3 = 0 and turn = 1)").withColumn("n", F.when(F.col("turn") % 4 == 2, F.col("n") + 0.02).otherwise(F.col("n") + 0.005))
@@ -99,7 +147,7 @@ def ambiguous_images(spark, sf_dir):
     return rules.scan_problem(images)
 
 
-QUERIES = {f.__name__: f for f in (reconcile_1to1, report_violations, reconcile_ordinal, prefix_collisions, same_path_collisions, identity_collisions, unexplained_edges, parts_diff, undeclared_parts, same_rows, reference_overlap, reference_digest, ambiguous_images)}
+QUERIES = {f.__name__: f for f in (reconcile_1to1, report_violations, image_manifest_violations, video_report_violations, workbook_report_violations, reconcile_ordinal, prefix_collisions, same_path_collisions, identity_collisions, unexplained_edges, parts_diff, undeclared_parts, same_rows, reference_overlap, reference_digest, ambiguous_images)}
 
 _PATH = "concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR), '.txt')"
 SQL = {
@@ -110,6 +158,18 @@ FROM (SELECT doc_id FROM documents WHERE lang = 'de') d FULL JOIN labels l ON d.
 WITH d AS (SELECT doc_id AS d, strlen(text) AS size FROM documents), r AS (SELECT *, CASE WHEN d % 3 = 0 THEN size // 2 ELSE size - CASE WHEN d % 31 = 1 THEN 1 ELSE 0 END END AS out FROM d WHERE d % 50 <> 7),
 c AS (SELECT unnest([CASE WHEN d % 41 = 0 THEN 'source_sha256' END, CASE WHEN d % 3 <> 0 AND (d % 41 = 0 OR out <> size) THEN 'copy' END, CASE WHEN d % 3 = 0 AND NOT size - out > 0 THEN 'lossy_gate' END,
  CASE WHEN d % 37 = 0 THEN 'basis' END, CASE WHEN d % 29 = 0 THEN 'protection' END]) AS code FROM r UNION ALL SELECT 'missing' FROM d WHERE d % 50 = 7)
+SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1""",
+    "image_manifest_violations": """
+WITH c AS (SELECT unnest([CASE WHEN d % 47 = 0 THEN 'format' END, CASE WHEN d % 3 = 2 AND d % 26 = 2 THEN 'error' END, CASE WHEN d % 3 <> 2 AND d % 43 = 0 THEN 'dimensions' END, CASE WHEN d % 3 = 1 AND d % 31 = 1 THEN 'copy' END]) AS code
+ FROM (SELECT doc_id AS d FROM documents) WHERE d % 50 <> 7 UNION ALL SELECT 'missing' FROM documents WHERE doc_id % 50 = 7)
+SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1""",
+    "video_report_violations": """
+WITH c AS (SELECT unnest([CASE WHEN d % 41 = 0 THEN 'saved_bytes' END, CASE WHEN d % 4 = 3 AND d % 27 = 3 THEN 'no_output' END, CASE WHEN d % 4 = 1 AND d % 31 = 1 THEN 'copy' END, CASE WHEN d % 4 = 0 AND (d % 37 = 0 OR d % 29 = 0) THEN 'adopted' END]) AS code
+ FROM (SELECT doc_id AS d FROM documents) WHERE d % 50 <> 7 UNION ALL SELECT 'missing' FROM documents WHERE doc_id % 50 = 7)
+SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1""",
+    "workbook_report_violations": """
+WITH c AS (SELECT unnest([CASE WHEN d % 43 = 0 THEN 'changed_count' END, CASE WHEN d % 4 = 0 AND d % 23 = 0 THEN 'changed_once' END, CASE WHEN d % 4 = 2 AND d % 53 = 2 THEN 'no_output' END, CASE WHEN d % 2 = 1 AND d % 31 = 1 THEN 'preserved' END,
+ CASE WHEN d % 4 = 0 AND d % 29 = 0 THEN 'adopted' END, CASE WHEN d % 4 = 0 AND d % 23 = 0 THEN 'diagnostics' END]) AS code FROM (SELECT doc_id AS d FROM documents) WHERE d % 50 <> 7 UNION ALL SELECT 'missing' FROM documents WHERE doc_id % 50 = 7)
 SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1""",
     "reconcile_ordinal": """
 WITH l AS (SELECT conv_id, role, length(text)::DOUBLE AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS o FROM conversations),

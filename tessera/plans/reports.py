@@ -13,8 +13,11 @@ from tessera.sources import packages, probes, sinks
 
 
 def _folder(spark) -> str:
-    """A folder that all executors share: the cluster's, or a temporary one where none is named."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/report-{uuid.uuid4().hex}"
+    """A folder that all executors share: the cluster's, or a temporary one on a local master where none is named."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/report-{uuid.uuid4().hex}"
 
 
 def report_roundtrip(spark, sf_dir):
