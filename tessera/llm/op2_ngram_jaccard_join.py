@@ -330,7 +330,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     named = items.join(labels.withColumnRenamed("v", "item"), "item", "left").select("n", "fa", "fb", "home.doc_id", F.coalesce("label", "item").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    lowest = S.cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))  # cut, so that AQE can split a large component in the join
     named = named.join(lowest, "label").select("n", "fa", "fb", "component_id")
     return found.select("doc_id", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
