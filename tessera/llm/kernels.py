@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORDY = np.zeros(256, bool)
 _WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: 0 for white space; without and with runs of signs as words of their own.
+_KINDS = (~_SPACE).astype(np.uint8), np.where(_SPACE, 0, np.where(_WORDY, 1, 2)).astype(np.uint8)
 #: Texts are hashed in runs of whole documents of about this many bytes, which bounds the scratch arrays.
 SLICE = (1 << 20) - 4096
 
@@ -33,6 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
+_BYTE_LOWER = _BYTE[_LOWER]
 
 
 @functools.lru_cache(2)
@@ -90,34 +94,31 @@ def slices(off: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
     return out
 
 
+def word_slices(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of documents of at most so many bytes: its first document, then words' hashes, starts, ends and each document's first word, counted in the run."""
+    kinds, values = _KINDS[signs], _BYTE_LOWER if lower else _BYTE
+    for a, b in slices(off, most):
+        part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+        kind = kinds[part]
+        edge = np.ones(len(part) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[own] = True
+        at = np.flatnonzero(edge)
+        solid = kind[at[:-1]] > 0
+        s, e = at[:-1][solid], at[1:][solid]
+        yield a, ranges(prefix(values[part]), s, e), s, e, np.searchsorted(s, own, "left")
+
+
 def words(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of each word, and each document's first word (one more at the end). signs: runs of signs are words of their own."""
-    hashes, starts, ends, firsts, seen = [], [], [], [np.zeros(1, np.int64)], 0
-    for a, b in slices(off):
-        part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-        if lower:
-            part = _LOWER[part]
-        gap = np.ones(len(part) + 2, bool)
-        gap[1:-1] = _SPACE[part]
-        inner = own[1:-1][(own[1:-1] > 0) & (own[1:-1] < len(part))]
-        solid = ~gap[1:-1]
-        begins = solid & gap[:-2]
-        begins[inner] = solid[inner]
-        closes = solid & gap[2:]
-        if signs:
-            turn = np.flatnonzero(np.diff(_WORDY[part]))
-            turn = turn[solid[turn] & solid[turn + 1]]
-            closes[turn] = True
-            begins[turn + 1] = True
-        closes[inner - 1] = solid[inner - 1]
-        s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-        hashes.append(ranges(prefix(_BYTE[part]), s, e))
-        firsts.append(np.searchsorted(s, own[1:], "left") + seen)
+    hashes, starts, ends, firsts, seen = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
+    for a, h, s, e, first in word_slices(raw, off, lower, signs):
+        hashes.append(h)
         starts.append(s + off[a])
         ends.append(e + off[a])
-        seen += len(s)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([np.zeros(0, U), *hashes]), np.concatenate([empty, *starts]), np.concatenate([empty, *ends]), np.concatenate(firsts)
+        firsts.append(first[1:] + seen)
+        seen += len(h)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), np.concatenate(firsts)
 
 
 def follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -43,6 +43,8 @@ SHARD, SMALL, FEW = 128 << 20, 16 << 20, 64
 MOST_BITS = 32 << 20
 #: Trigrams that a task holds while it deals their weights out.
 AT_ONCE = 1 << 22
+#: Bytes of text whose n-grams are made at once, so that scratch arrays stay in the cache.
+RUN = 1 << 18
 #: Weights are whole numbers of 1 / SCALE bit.
 SCALE = 1024
 #: A word is 48 bits of its hash; an n-gram in a shard of the weights 40 bits, so one in a million absent ones passes for another.
@@ -62,9 +64,10 @@ def before(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, v
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, _, _, first = K.words(raw, off, signs=True)
-    return h >> U(16), first
+def words(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each run of documents: its first document, the words, and each document's first word in the run."""
+    for a, h, _, _, first in K.word_slices(raw, off, signs=True, most=RUN):
+        yield a, h >> U(16), first
 
 
 def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,10 +166,14 @@ def _trigrams(blocks: S.Blocks, shards: int, turn: int, chosen: Broadcast | None
 
     def deal_out(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            w, first = words(*(_part(r, chosen.value) if chosen else S.unpack(r)[1:]))
-            u, v = before(w, first)
-            mine = np.flatnonzero(_turn(K.mix(v), TURNS) == turn)
-            u, v, w = u[mine], v[mine], w[mine]
+            own = []
+            for _, w, first in words(*(_part(r, chosen.value) if chosen else S.unpack(r)[1:])):
+                u, v = before(w, first)
+                mine = np.flatnonzero(_turn(K.mix(v), TURNS) == turn)
+                own.append((u[mine], v[mine], w[mine]))
+            if not own:
+                continue
+            u, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
             uv = K.follow(u, v)
             _, at, c = np.unique(K.follow(uv, w), return_index=True, return_counts=True)
             yield _rows("part u v w c", *((s, squeeze(u[at[own]]), squeeze(v[at[own]]), squeeze(w[at[own]]), squeeze(c[own])) for s, own in _parts(uv[at], shards)))
@@ -429,14 +436,31 @@ def _grams(w: np.ndarray, first: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     """
     size = np.diff(first)
     some = np.flatnonzero(size)
+    begin, n = first[:-1][some], len(some)
     doc = np.repeat(2 * np.arange(len(size)), size)
-    u, v = before(w, first)
+    bos = np.array([_BOS])
+    start, pair = K.mix(bos), K.follow(bos, bos)
+    v = np.empty_like(w)
+    v[1:], v[begin] = w[:-1], _BOS
     vw = K.follow(v, w)
-    start, pair = (np.full(len(some), x[0], U) for x in (K.mix(np.array([_BOS])), K.follow(np.array([_BOS]), np.array([_BOS]))))
-    tri = K.follow(K.follow(u, v), w), doc
+    uv = v
+    uv[1:], uv[begin] = vw[:-1], pair  # the bigram before is the context of the next trigram
     ends = doc.copy()
     ends[first[1:][some] - 1] += 1
-    return (np.concatenate([K.mix(w), start]), np.concatenate([ends, 2 * some])), (np.concatenate([vw, pair]), np.concatenate([ends, 2 * some])), tri
+    low = np.concatenate([ends, 2 * some])
+    return (np.concatenate([K.mix(w), np.repeat(start, n)]), low), (np.concatenate([vw, np.repeat(pair, n)]), low), (K.follow(uv, w), doc)
+
+
+def _asked(raw: np.ndarray, off: np.ndarray, turn: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many words each document has, and keys and documents, as _grams tells them, of the n-grams of this turn, by kind."""
+    size, by = [np.zeros(0, np.int64)], [([np.zeros(0, U)], [np.zeros(0, np.int64)]) for _ in _COUNTS]
+    for a, w, first in words(raw, off):
+        size.append(np.diff(first))
+        for (keys, docs), (all_keys, all_docs) in zip(_grams(w, first), by, strict=True):
+            mine = np.flatnonzero(_turn(keys, PASSES) == turn)
+            all_keys.append(keys[mine])
+            all_docs.append(docs[mine] + 2 * a)
+    return np.concatenate(size), [(np.concatenate(keys), np.concatenate(docs)) for keys, docs in by]
 
 
 #: Weights of words, bigrams and trigrams as predicted, and as contexts.
@@ -452,12 +476,11 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
     def ask(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             ids, raw, off = S.unpack(r)
-            w, first = words(raw, off)
+            size, grams = _asked(raw, off, turn)
             if not turn:
-                yield _rows(_ASKS, (r["block"] % shards, -1, r["block"], None, None, None, None, None, K.blob(ids), r["tags"], K.blob(np.diff(first))))
-            for kind, (keys, docs) in enumerate(_grams(w, first)):
-                mine = np.flatnonzero(_turn(keys, PASSES) == turn)
-                keys, docs, out = keys[mine], docs[mine], []
+                yield _rows(_ASKS, (r["block"] % shards, -1, r["block"], None, None, None, None, None, K.blob(ids), r["tags"], K.blob(size)))
+            for kind, (keys, docs) in enumerate(grams):
+                out = []
                 for s, at in _parts(keys, shards):
                     both = np.sort(((keys[at] >> U(24)) << U(17)) | docs[at].astype(U))  # a block has at most 2 ** 16 documents
                     new = K.changes(both)
