@@ -36,7 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
-_BYTE_LOWER = _BYTE[_LOWER]
 
 
 @functools.lru_cache(2)
@@ -94,9 +93,32 @@ def slices(off: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
     return out
 
 
+def _eight(whole: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes from at on, eight or as many as are left, as one number; whole: all bytes, eight a number, and at least eight more."""
+    first, shift = at >> 3, ((at & 7) << 3).astype(U)
+    x = (whole[first] >> shift) | ((whole[first + 1] << U(1)) << (U(63) - shift))
+    return x & (U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) << 3).astype(U))
+
+
+def _named(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, which have a byte at least: of their bytes where they have 16 at most, else of a hash of ranges."""
+    size = end - start
+    whole = np.zeros(len(raw) // 8 + 4, U)
+    whole.view(np.uint8)[: len(raw)] = raw
+    a, b = _eight(whole, start, size), np.zeros(len(size), U)
+    some = np.flatnonzero(size > 8)
+    b[some] = _eight(whole, start[some] + 8, size[some] - 8)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        ends = np.cumsum(size[long])
+        a[long] = ranges(prefix(_BYTE[raw[ragged(start[long], size[long])]]), ends - size[long], ends)
+        b[long] = 0
+    return follow(mix(a + size.astype(U) * U(0xA0761D6478BD642F)), b)
+
+
 def word_slices(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run of documents of at most so many bytes: its first document, then words' hashes, starts, ends and each document's first word, counted in the run."""
-    kinds, values = _KINDS[signs], _BYTE_LOWER if lower else _BYTE
+    kinds = _KINDS[signs]
     for a, b in slices(off, most):
         part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
         kind = kinds[part]
@@ -106,7 +128,7 @@ def word_slices(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bo
         at = np.flatnonzero(edge)
         solid = kind[at[:-1]] > 0
         s, e = at[:-1][solid], at[1:][solid]
-        yield a, ranges(prefix(values[part]), s, e), s, e, np.searchsorted(s, own, "left")
+        yield a, _named(_LOWER[part] if lower else part, s, e), s, e, np.searchsorted(s, own, "left")
 
 
 def words(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +197,9 @@ def blob(x: np.ndarray) -> bytes:
 
 def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
     """Whole numbers >= 0 in as many bytes as the largest takes, byte planes after each other, compressed; rising: as differences."""
-    x = np.asarray(x).astype("<u8")
+    x = np.asarray(x).astype("<u8")  # a copy
     if rising and len(x):
-        x = np.diff(x, prepend=U(0))
+        x[1:] = x[1:] - x[:-1]
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     return bytes([width]) + _SQUEEZE.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 

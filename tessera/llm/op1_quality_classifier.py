@@ -319,7 +319,7 @@ def _gather(rows: DataFrame, shards: int) -> DataFrame:
             by.setdefault(r["kind"], []).append(r)
         for kind, own in by.items():
             keys, bits = _joined(own, "keys", True), _joined(own, "bits")
-            order = np.argsort(keys)
+            order = np.argsort(keys, kind="stable")  # rising runs, which are merged
             keys, bits = keys[order], bits[order]
             turns = keys.astype(np.uint16) % np.uint16(PASSES)
             for turn in range(PASSES):
@@ -504,7 +504,7 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
             if held:
                 for kind, own in held.items():
                     keys, bits = _joined(own, "keys", True), _joined(own, "docs")
-                    order = np.argsort(keys)
+                    order = np.argsort(keys, kind="stable")  # a few rising runs, which are merged
                     tables[kind] = keys[order], bits[order].astype(np.int64)
                 held = {}
             keys, docs, many = loosen(r["keys"], True), loosen(r["docs"]).astype(np.int64), loosen(r["many"]).astype(np.int64)

@@ -25,6 +25,14 @@ def test_words_are_those_of_the_pattern(texts):
     assert len(set(zip(h.tolist(), flat, strict=True))) == len(set(h.tolist())) == len(set(flat))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab\x00", min_size=1, max_size=40), max_size=30))
+@example(["a" * n for n in range(1, 40)] + ["a" * n + "\x00" for n in range(1, 40)] + ["\x00" * n for n in range(1, 40)])
+def test_words_of_any_length_have_hashes_of_their_own(words):
+    h = K.words(*K.utf8(pa.array([" ".join(words)])))[0]
+    assert len(set(zip(h.tolist(), words, strict=True))) == len(set(h.tolist())) == len(set(words))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 9))
 def test_grams_and_minima(values, n):
