@@ -160,13 +160,17 @@ def video_eligibility(media: DataFrame, safe: bool = False, remove_audio: bool =
     """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     token = F.try_element_at(F.create_map(*(F.lit(x) for k, v in CONTAINERS.items() for x in (k, v[0]))), suffix)
-    video, audio = F.filter("streams", lambda s: s["kind"] == "video"), F.filter("streams", lambda s: s["kind"] == "audio")
-    others = F.array_sort(F.array_distinct(F.transform(F.filter("streams", lambda s: ~s["kind"].isin("video", "audio")), lambda s: s["kind"])))
+    # What many rules ask for is a column of its own: Catalyst doesn't inline a costly expression that is used more than once.
+    picked = media.withColumns({
+        "_token": token, "_video": F.filter("streams", lambda s: s["kind"] == "video"), "_audio": F.filter("streams", lambda s: s["kind"] == "audio"),
+        "_others": F.array_sort(F.array_distinct(F.transform(F.filter("streams", lambda s: ~s["kind"].isin("video", "audio")), lambda s: s["kind"]))),
+    })
+    token, video, audio, others, turn = (F.col(f"_{n}") for n in ("token", "video", "audio", "others", "turn"))
     v, a = F.get(video, F.lit(0)), F.get(audio, F.lit(0))
+    picked = picked.withColumns({"_turn": display_rotation(v["tags"], v["side_data"]), "_hdr": has_hdr(v["transfer"], v["primaries"], v["side_data"])})
     unknown = lambda c: F.coalesce(c, F.lit("")).isin("", "unknown", "0:1")
     order, aspect, keep = v["field_order"], v["aspect"], F.lit(not remove_audio)
     strict = F.lit(safe)
-    turn = display_rotation(v["tags"], v["side_data"])
     say = lambda status, reason: F.struct(F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
     complex_, unsupported = "SKIPPED_COMPLEX", "SKIPPED_UNSUPPORTED"
     differ = sizes.fraction_less(v["r_rate"], v["avg_rate"]) | sizes.fraction_less(v["avg_rate"], v["r_rate"])
@@ -181,7 +185,7 @@ def video_eligibility(media: DataFrame, safe: bool = False, remove_audio: bool =
             (keep & (F.size(audio) == 1) & ~F.coalesce(a["channels"].isin(1, 2), F.lit(False)), say(complex_, "audio channels")),
             (~F.coalesce(v["pix_fmt"].isin("yuv420p", "yuvj420p"), F.lit(False)), say(unsupported, "pixel format")),
             (~F.coalesce(v["bit_depth"], F.lit(0)).isin(0, 8), say(unsupported, "bit depth")),
-            (has_hdr(v["transfer"], v["primaries"], v["side_data"]), say(complex_, "high dynamic range")),
+            (F.col("_hdr"), say(complex_, "high dynamic range")),
             (~((order == "progressive") | (~strict & unknown(order))) | (order.isNull() & strict), say(complex_, "field order")),
             (~((aspect == "1:1") | (~strict & unknown(aspect))) | (aspect.isNull() & strict), say(complex_, "aspect ratio")),
             (v["width"].isNull() | v["height"].isNull() | (v["width"] < 2) | (v["height"] < 2), say(unsupported, "dimensions")),
@@ -194,9 +198,8 @@ def video_eligibility(media: DataFrame, safe: bool = False, remove_audio: bool =
     shown = sizes.video_box(F.when(swap, v["height"]).otherwise(v["width"]), F.when(swap, v["width"]).otherwise(v["height"]))
     rate = v["avg_rate"] if safe else F.when(sizes.fraction_less(v["r_rate"], v["avg_rate"]), v["avg_rate"]).otherwise(v["r_rate"])
     thirty = F.struct(F.lit(30).cast("bigint").alias("num"), F.lit(1).cast("bigint").alias("den"))
-    fps = F.when(sizes.fraction_less(thirty, rate), thirty).otherwise(rate)
-    out = media.withColumn("_v", verdict)
-    ok = F.col("_v").isNull()
+    out = picked.withColumns({"_v": verdict, "_shown": shown, "_fps": F.when(sizes.fraction_less(thirty, rate), thirty).otherwise(rate)})
+    ok, shown, fps = F.col("_v").isNull(), F.col("_shown"), F.col("_fps")
     return out.select(*media.columns, F.col("_v.status").alias("status"), F.coalesce("_v.reason", F.lit("")).alias("reason"), F.when(ok, shown["w"]).alias("out_width"), F.when(ok, shown["h"]).alias("out_height"), F.when(ok, sizes.fraction_text(fps)).alias("fps"))
 
 
