@@ -121,12 +121,13 @@ def same_rows(spark, sf_dir):
 
 
 def reference_overlap(spark, sf_dir):
-    """Documents that hold a protected text: an equi-join on five of its words finds candidates, contains() decides. The words 2 to 6 stand whole in a document only if a space follows them in the item; items of fewer than seven words are held against every document."""
-    words = F.split("text", " ")
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.size(words).alias("n"), F.array_join(F.slice(words, 2, 5), " ").alias("anchor"))
-    runs = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.array_join(F.slice(words, i, 5), " ")))
+    """Documents that hold a protected text: an equi-join on the hash of five of its words finds candidates, contains() decides. The words 2 to 6 stand whole in a document only if a space follows them in the item; items of fewer than seven words are held against every document."""
+    run = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(5)))  # noqa: E731 (words are a column: a split inside the lambda would cut the text anew for each run)
+    cut = lambda t: load(spark, sf_dir, t).withColumn("words", F.split("text", " "))
+    items = cut("benchmark").select("item_id", F.col("text").alias("item"), F.size("words").alias("n"), run(F.lit(1)).alias("anchor"))
+    runs = F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(0), F.size("words") - 5), run))
     docs = load(spark, sf_dir, "documents")
-    near = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor")).join(items.where("n >= 7"), "anchor").select("doc_id", "item_id", "item")  # texts don't go through the explosion
+    near = cut("documents").select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor")).join(items.where("n >= 7"), "anchor").select("doc_id", "item_id", "item").distinct()  # texts don't go through the explosion
     long = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
     short = docs.select("doc_id", "text").join(items.where("n < 7").select("item_id", "item"), F.contains("text", F.col("item"))).select("doc_id", "item_id")
     return long.unionByName(short).distinct()
