@@ -1,4 +1,4 @@
-"""Exact top-k search: Fagin's threshold algorithm over sorted per-dimension lists, block by block."""
+"""Exact top-k search: Fagin's threshold algorithm over sorted per-dimension lists, block by block with kth scores carried on."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from tessera.llm.kernels import blob
 
 #: Vectors and queries in a block; a task holds one block of each.
 VECTORS, QUERIES_AT_ONCE = 8192, 1024
+#: Blocks of queries whose kth scores a task carries from one block of vectors to the next (8 MB); for others each block starts anew.
+CARRIED = 1024
 
 
 def _blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
@@ -50,8 +52,11 @@ def _blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
     return vectors.mapInArrow(run, "nr long, dim int, ids binary, values binary")
 
 
-def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, values: np.ndarray, falling: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows for a query. falling: for each dimension, the rows by falling value."""
+def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, values: np.ndarray, falling: np.ndarray, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows for a query. falling: for each dimension, the rows by falling value.
+
+    known: a kth score that other rows have reached already; rows that can't beat it may be left out.
+    """
     n, dims = len(ids), np.flatnonzero(query)
     seen = np.zeros(n, bool)
     got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,7 +80,7 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, values: np.nd
         got_ids, got = got_ids[best], got[best]
         if len(dims) and depth < n:
             edge = np.where(weights > 0, values[falling[dims, depth - 1], dims], values[falling[dims, n - depth], dims])
-            if len(got) == k and got[-1] > int(edge @ weights):  # a tie could have a smaller id, so it doesn't stop
+            if max(known, got[-1] if len(got) == k else -np.inf) > int(edge @ weights):  # a tie could have a smaller id, so it doesn't stop
                 break
         done, depth = depth, depth * 4
     return got_ids, got
@@ -86,7 +91,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
     Both inputs: vec_id, embedding. Components become floor(scale * x). Rows with a null id, a null vector or null or non-finite
     components take no part; vectors of other lengths than the query's aren't compared with it; empty vectors score 0; rows with the query's own id aren't its
-    candidates; repeated rows count again. All rows are searched; an empty table gives no rows.
+    candidates; repeated rows count again. All rows are searched; an empty table gives no rows; other columns are left out,
+    whatever their names. Scores that could be beyond 64 bits raise.
+
+    Blocks of vectors are dealt to salts and sent once; blocks of queries go to every salt. So a block of vectors meets all
+    queries in one task, and the kth scores that a query has reached stop it in the task's later blocks.
     """
     spark = vectors.sparkSession
 
@@ -97,24 +106,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
     q = S.cut(_blocks(fit(queries).repartition(max(1, S.parts(spark) // 8)), QUERIES_AT_ONCE, scale)).select(F.col("nr").alias("q_nr"), "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     v = S.cut(_blocks(fit(vectors), VECTORS, scale))
+    salts = S.parts(spark)
     schema = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        nr, values, falling = None, None, None
         for r in S.rows(batches):
-            dim = r["dim"]
-            ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-            values, wanted = np.frombuffer(r["values"], np.int64).reshape(len(ids), dim), np.frombuffer(r["q_values"], np.int64).reshape(len(q_ids), dim)
-            falling = np.argsort(-values, axis=0, kind="stable").T.copy()
-            if dim and float(np.abs(values).max()) * float(np.abs(wanted).max()) * dim < 2**53:
-                values, wanted = values.astype(np.float64), wanted.astype(np.float64)  # still exact
+            dim, ids, q_ids = r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+            if r["nr"] != nr:
+                nr, values = r["nr"], np.frombuffer(r["values"], np.int64).reshape(len(ids), dim)
+                falling = np.argsort(-values, axis=0, kind="stable").T.copy()
+            wanted, rows = np.frombuffer(r["q_values"], np.int64).reshape(len(q_ids), dim), values
+            largest = float(np.abs(values).max()) * float(np.abs(wanted).max()) * dim if dim else 0.0
+            if largest >= 2**63:
+                raise OverflowError("scores beyond 64 bits")
+            if dim and largest < 2**53:
+                rows, wanted = values.astype(np.float64), wanted.astype(np.float64)  # still exact
+            kth = known.get(r["q_nr"], np.full(len(q_ids), -np.inf))
             out: list[tuple[int, int, int]] = []
-            for own, query in zip(q_ids.tolist(), wanted, strict=True):
-                found, score = threshold_search(query, own, ids, values, falling, k)
+            for i, (own, query) in enumerate(zip(q_ids.tolist(), wanted, strict=True)):
+                found, score = threshold_search(query, own, ids, rows, falling, k, kth[i])
+                if 0 < k == len(found):
+                    kth[i] = max(kth[i], np.nextafter(float(score[-1]), -np.inf))  # not above the score when rounded
                 out.extend(zip([own] * len(found), found.tolist(), score.tolist(), strict=True))
+            if r["q_nr"] in known or len(known) < CARRIED:
+                known[r["q_nr"]] = kth
             yield S.batch(schema, out)
 
-    pairs = v.join(q, "dim").repartition(S.parts(spark), "nr", "q_nr")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    v = v.withColumn("salt", F.pmod(F.xxhash64("nr"), F.lit(salts))).repartition(salts, "salt")
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = v.join(q, ["dim", "salt"]).mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -262,6 +262,20 @@ def test_threshold_stops_early():
     falling = np.argsort(-values, axis=0, kind="stable").T.copy()
     ids, score = op10.threshold_search(np.array([1.0, 1, 1, 1]), -1, np.arange(4000), values.view(Rows), falling, 1)
     assert ids.tolist() == [17] and score.tolist() == [4000] and sum(seen) < 1000
+    others = np.delete(values, 17, 0)
+    falling = np.argsort(-others, axis=0, kind="stable").T.copy()
+    looked = []
+    for known in (-np.inf, 4000.0):  # a score known from elsewhere stops the search earlier
+        seen.clear()
+        op10.threshold_search(np.array([1.0, 1, 1, 1]), -1, np.arange(3999), others.view(Rows), falling, 5, known)
+        looked.append(sum(seen))
+    assert looked[1] < looked[0]
+
+
+def test_top_k_beyond_64_bits(spark):
+    df = spark.createDataFrame([(i, [1e15, 1e15]) for i in range(51)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        op10.top_k(df, df.where("vec_id % 50 = 0")).collect()
 
 
 def test_quotes():
