@@ -21,6 +21,10 @@ PDF_PROFILES = ("standard", "compact", "photo", "preserve", "text", "text_scan",
 IMAGE_ACTIONS = ("CONVERTED", "SKIPPED_GENERATED", "SKIPPED_COMPLETE", "SKIPPED_COPY", "COPIED_ORIGINAL", "COPIED_ENCODE_FAILED", "DRY_RUN", "DRY_RUN_SKIPPED_GENERATED", "ERROR")
 VIDEO_STATUSES = ("ADOPTED", "UNCHANGED", "SKIPPED_STANDARD", "SKIPPED_COMPLEX", "SKIPPED_UNSUPPORTED", "SKIPPED_COMPLETE", "DRY_RUN", "ERROR")
 EXCEL_STATUSES = ("ADOPTED_LOSSY", "PRESERVED_ORIGINAL", "ERROR", "DRY_RUN", "DRY_RUN_PRESERVED")
+#: Fonts that may replace others, video containers with their audio codec, and the box, rate and scores of an adopted video (fixed values).
+FONTS = ("Yu Gothic Regular", "Meiryo Regular")
+AUDIO = {".mp4": "aac", ".m4v": "aac", ".mkv": "opus", ".webm": "opus"}
+MAX_WIDTH, MAX_HEIGHT, MAX_FPS, MIN_MEAN, MIN_P5 = 1280, 720, 30.0, 85.0, 70.0
 #: Structure of the nested columns.
 CANDIDATES = "array<struct<kind:string,size:bigint,images_changed:bigint,reason:string,validation_reason:string,selected:boolean,text_extraction_changed:boolean>>"
 DIAGNOSTICS = "array<struct<part:string,format:string,size:array<int>,placements:int,required_pixels:array<int>,geometry_basis:string,reasons:array<string>,outcome:string>>"
@@ -88,14 +92,30 @@ def accepted(rows: DataFrame, checks: Sequence[tuple[str, Column]], key: str | N
     return rows.crossJoin(F.broadcast(found)).where("_bad = 0 and _most <= 1").drop("_bad", "_most", "_corrupt")  # found is one row
 
 
+def font_consistent() -> Column:
+    """Fonts are named, with a digest, only where the profile asks for them; only an adopted one of those may change the text's extraction."""
+    asked, changed = F.col("profile") == "font_replace", F.col("text_extraction_changed") == "true"
+    named = F.when(asked, one_of("replacement_font", FONTS) & F.coalesce(F.col("replacement_font_sha256").rlike(r"^[0-9a-f]{64}\z"), F.lit(False))).otherwise(~some("replacement_font") & ~some("replacement_font_sha256"))
+    return (F.col("font_replacement_requested") == asked.cast("string")) & (~changed | (asked & (F.col("status") == "ADOPTED_LOSSY"))) & named
+
+
+def adopted_video() -> Column:
+    """Whether a row of text fields has all that an adopted video must have: shape, rate, scores, codecs and the encoder's version."""
+    n = lambda c: F.col(c).try_cast("double")
+    codec = F.try_element_at(F.create_map(*(F.lit(x) for pair in AUDIO.items() for x in pair)), F.lower(F.regexp_extract("output_path", r"(\.[^./\\]+)$", 1)))
+    even = (n("width") % 2 == 0) & (n("height") % 2 == 0) & (n("width") <= MAX_WIDTH) & (n("height") <= MAX_HEIGHT)
+    sound = F.coalesce(F.lower("audio_codec"), F.lit("")).isin("") | (F.lower("audio_codec") == codec)
+    whole_row = even & (n("fps") <= MAX_FPS) & n("duration").isNotNull() & (n("vmaf_mean") >= MIN_MEAN) & (n("vmaf_p5") >= MIN_P5) & (F.lower("video_codec") == "av1") & codec.isNotNull() & sound & (F.trim("ffmpeg_version") != "")
+    return F.coalesce(whole_row, F.lit(False))
+
+
 def pdf_checks() -> list[tuple[str, Column]]:
-    font = F.col("profile") == "font_replace"
     return [
         ("source_path", some("source_path")), ("output_path", some("output_path")), ("source_size", whole("source_size")), ("output_size", whole("output_size", 0, False)), ("saved_bytes", whole("saved_bytes", 0, False)),
         ("saved_percent", real("saved_percent", 0, float("inf"))), ("status", one_of("status", PDF_STATUSES)), ("preset", one_of("preset", ("standard", "compact"))), ("profile", one_of("profile", PDF_PROFILES)),
         ("policy", (F.col("processing_schema") == "6") & (F.col("requested_policy") == F.col("profile"))), ("flags", flag("lossless_jpeg_requested") & flag("font_replacement_requested") & flag("text_extraction_changed")),
         ("photo_dpi", F.when(F.col("profile") == "photo", whole("photo_dpi", 150) & (F.col("photo_dpi").try_cast("int") <= 300)).otherwise(~some("photo_dpi"))), ("source_sha256", digest("source_sha256")), ("output_sha256", digest("output_sha256", False)),
-        ("font", (F.col("font_replacement_requested") == font.cast("string")) & (font | (~some("replacement_font") & ~some("replacement_font_sha256")))),
+        ("font", font_consistent()),
     ]
 
 
@@ -138,6 +158,7 @@ def video_report(spark: SparkSession, path: str) -> DataFrame:
         ("paths", some("source_path") & some("output_path")), ("reason", some("reason")), ("sizes", whole("source_size") & whole("output_size", 0, False) & whole("saved_bytes")), ("saved_percent", real("saved_percent", 0, 100, required=True)),
         ("status", one_of("status", VIDEO_STATUSES)), ("preset", one_of("preset", ("standard", "compact"))), ("digests", digest("source_sha256") & digest("output_sha256", False)), ("flags", flag("safe") & flag("remove_audio")),
         ("dimensions", whole("width", 1, False) & whole("height", 1, False)), ("times", real("fps", 0, 1e9, True) & real("duration", 0, 1e12, True)), ("scores", real("vmaf_mean", 0, 100) & real("vmaf_p5", 0, 100)),
+        ("adopted", (F.col("status") != "ADOPTED") | adopted_video()),
     ]
     rows = accepted(read_csv(spark, path, VIDEO_COLUMNS), checks)
     return _typed(rows, ("source_size", "output_size", "saved_bytes", "width", "height"), ("saved_percent", "fps", "duration", "vmaf_mean", "vmaf_p5"), ("safe", "remove_audio"), ("source_sha256", "output_sha256"))

@@ -47,6 +47,21 @@ def test_reports_are_accepted_whole_or_not(spark, tmp_path):
     assert got.error_message == 'line\nwith "quotes"' and got.source_size == 1000 and got.candidate_details[0].kind == "lossless" and got.photo_dpi is None
 
 
+def test_fonts_and_adopted_videos_are_consistent(spark, tmp_path):
+    font = PDF_ROW | {"profile": "font_replace", "requested_policy": "font_replace", "status": "ADOPTED_LOSSY", "font_replacement_requested": "true", "replacement_font": "Meiryo Regular", "replacement_font_sha256": SHA, "text_extraction_changed": "true"}
+    video = VIDEO_ROW | {"status": "ADOPTED", "video_codec": "AV1", "vmaf_mean": "90.0", "vmaf_p5": "75.0"}
+    cases = [
+        (reports.pdf_report, font, [{"replacement_font": "Arial"}, {"replacement_font_sha256": ""}, {"font_replacement_requested": "false"}, {"status": "UNCHANGED"}]),
+        (reports.pdf_report, PDF_ROW, [{"replacement_font": "Meiryo Regular"}, {"text_extraction_changed": "true"}]),
+        (reports.video_report, video, [{"video_codec": "h264"}, {"audio_codec": "opus"}, {"width": "641"}, {"width": "1282"}, {"fps": "60"}, {"vmaf_p5": "69"}, {"vmaf_mean": ""}, {"output_path": "o/a.avi"}, {"ffmpeg_version": " "}]),
+    ]
+    for k, (parse, row, tampers) in enumerate(cases):
+        assert parse(spark, write(tmp_path / f"{k}.csv", [row])).count() == 1, k
+        for i, tamper in enumerate(tampers):
+            assert parse(spark, write(tmp_path / f"{k}-{i}.csv", [row | tamper])).count() == 0, tamper
+    assert reports.video_report(spark, write(tmp_path / "silent.csv", [video | {"audio_codec": "", "output_path": "o/a.webm"}])).count() == 1
+
+
 def test_older_manifest(spark, tmp_path):
     old = {k: v for k, v in IMAGE_ROW.items() if k not in ("output_format", "strip_exif")}
     got = reports.image_manifest(spark, write(tmp_path / "old.csv", [old])).first()
