@@ -505,7 +505,8 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
                 for kind, own in held.items():
                     keys, bits = _joined(own, "keys", True), _joined(own, "docs")
                     order = np.argsort(keys, kind="stable")  # a few rising runs, which are merged
-                    tables[kind] = keys[order], bits[order].astype(np.int64)
+                    if len(keys):  # a small shard may have no n-gram of this turn
+                        tables[kind] = keys[order], bits[order].astype(np.int64)
                 held = {}
             keys, docs, many = loosen(r["keys"], True), loosen(r["docs"]).astype(np.int64), loosen(r["many"]).astype(np.int64)
             found = np.zeros(len(docs), np.int64)
