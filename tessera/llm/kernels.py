@@ -27,12 +27,13 @@ SLICE = (1 << 20) - 4096
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(33)
-    x *= U(0xC4CEB9FE1A85EC53)
-    x ^= x >> U(33)
-    return x
+    y = x >> U(33)
+    y ^= x
+    y *= U(0xFF51AFD7ED558CCD)
+    y ^= y >> U(33)
+    y *= U(0xC4CEB9FE1A85EC53)
+    y ^= y >> U(33)
+    return y
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
@@ -93,41 +94,40 @@ def slices(off: np.ndarray, most: int = SLICE) -> list[tuple[int, int]]:
     return out
 
 
-def _eight(whole: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The bytes from at on, eight or as many as are left, as one number; whole: all bytes, eight a number, and at least eight more."""
-    first, shift = at >> 3, ((at & 7) << 3).astype(U)
-    x = (whole[first] >> shift) | ((whole[first + 1] << U(1)) << (U(63) - shift))
-    return x & (U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) << 3).astype(U))
+#: The first bytes of a number, by how many there are.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def _named(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of words, which have a byte at least: of their bytes where they have 16 at most, else of a hash of ranges."""
     size = end - start
-    whole = np.zeros(len(raw) // 8 + 4, U)
-    whole.view(np.uint8)[: len(raw)] = raw
-    a, b = _eight(whole, start, size), np.zeros(len(size), U)
-    some = np.flatnonzero(size > 8)
-    b[some] = _eight(whole, start[some] + 8, size[some] - 8)
+    whole = np.zeros(len(raw) + 24, np.uint8)
+    whole[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 16,), "<u8", whole, 0, (1,))  # the eight bytes from each place on, as one number
+    a = eight[start] & _FIRST[np.minimum(size, 8)]
     long = np.flatnonzero(size > 16)
     if len(long):
         ends = np.cumsum(size[long])
         a[long] = ranges(prefix(_BYTE[raw[ragged(start[long], size[long])]]), ends - size[long], ends)
-        b[long] = 0
-    return follow(mix(a + size.astype(U) * U(0xA0761D6478BD642F)), b)
+    a += size.astype(U) * U(0xA0761D6478BD642F)
+    a = mix(a)
+    out = follow(a, U(0))
+    some = np.flatnonzero((size > 8) & (size <= 16))
+    out[some] = follow(a[some], eight[start[some] + 8] & _FIRST[size[some] - 8])
+    return out
 
 
 def word_slices(raw: np.ndarray, off: np.ndarray, lower: bool = False, signs: bool = False, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run of documents of at most so many bytes: its first document, then words' hashes, starts, ends and each document's first word, counted in the run."""
-    kinds = _KINDS[signs]
+    kinds = _KINDS[signs].tobytes()
     for a, b in slices(off, most):
         part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-        kind = kinds[part]
+        kind = np.frombuffer(part.tobytes().translate(kinds), np.uint8)
         edge = np.ones(len(part) + 1, bool)
         np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
         edge[own] = True
-        at = np.flatnonzero(edge)
-        solid = kind[at[:-1]] > 0
-        s, e = at[:-1][solid], at[1:][solid]
+        solid = kind > 0
+        s, e = np.flatnonzero(edge[:-1] & solid), np.flatnonzero(edge[1:] & solid) + 1
         yield a, _named(_LOWER[part] if lower else part, s, e), s, e, np.searchsorted(s, own, "left")
 
 
@@ -195,22 +195,43 @@ def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _holder(width: int) -> int:
+    """Bytes of the least whole number that has so many bytes."""
+    return 1 << (width - 1).bit_length()
+
+
 def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
     """Whole numbers >= 0 in as many bytes as the largest takes, byte planes after each other, compressed; rising: as differences."""
-    x = np.asarray(x).astype("<u8")  # a copy
+    x = np.asarray(x)
     if rising and len(x):
+        x = x.astype(U)  # a copy
         x[1:] = x[1:] - x[:-1]
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + _SQUEEZE.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    size = _holder(width)
+    return bytes([width]) + _SQUEEZE.compress(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, :width].T.tobytes())
 
 
 def loosen(data: bytes, rising: bool = False) -> np.ndarray:
     width = data[0]
+    size = _holder(width)
     planes = np.frombuffer(_LOOSEN.decompress(data[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out = np.zeros((planes.shape[1], size), np.uint8)
     out[:, :width] = planes.T
-    x = out.reshape(-1).view("<u8")
-    return np.cumsum(x, dtype=U) if rising else x
+    x = out.reshape(-1).view(f"<u{size}")
+    return np.cumsum(x, dtype=U) if rising else x.astype(U)
+
+
+def gathered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which x rises, and where in it each value begins; equal ones in any order, which is much faster than np.unique with positions."""
+    order = np.argsort(x)
+    return order, changes(x[order])
+
+
+def find(have: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """np.searchsorted, faster where x is long and in no order."""
+    order, out = np.argsort(x), np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(have, x[order])
+    return out
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:

@@ -45,6 +45,8 @@ MOST_BITS = 32 << 20
 AT_ONCE = 1 << 22
 #: Bytes of text whose n-grams are made at once, so that scratch arrays stay in the cache.
 RUN = 1 << 18
+#: Blocks or batches from one trim of a worker's memory to the next; at each one it took a fifth of the workers' CPU time.
+EVERY = 8
 #: Weights are whole numbers of 1 / SCALE bit.
 SCALE = 1024
 #: A word is 48 bits of its hash; an n-gram in a shard of the weights 40 bits, so one in a million absent ones passes for another.
@@ -70,9 +72,13 @@ def words(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, n
         yield a, h >> U(16), first
 
 
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> U(20)) % U(shards)
+
+
 def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Shard and positions of its keys, in the order of keys."""
-    shard = ((keys >> U(20)) % U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    shard = _shard(keys, shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
     order = np.argsort(shard, kind="stable")  # of 16 bits: in linear time
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)):
@@ -98,7 +104,7 @@ def _schema(names: str) -> str:
 def _reduce(rows: DataFrame, shards: int, run, names: str, order: tuple[str, ...] = ()) -> DataFrame:
     """run over the rows of each part, one part a task."""
     dealt = rows.repartitionById(shards, "part")
-    return (dealt.sortWithinPartitions(*order) if order else dealt).mapInArrow(lambda batches: run(S.rows(batches)), _schema(names))
+    return (dealt.sortWithinPartitions(*order) if order else dealt).mapInArrow(lambda batches: run(S.rows(batches, EVERY)), _schema(names))
 
 
 def _joined(rows: list[dict], name: str, rising: bool = False) -> np.ndarray:
@@ -123,6 +129,25 @@ def _discounts(often: list[int]) -> np.ndarray:
     return np.array([min(max(i - (i + 1) * y * b / a, 0.1), float(i)) for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)])
 
 
+def _sums(c: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the counts from each begin on to the next."""
+    return np.add.reduceat(c, begin) if len(begin) else c
+
+
+def _by_both(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """An order in which v rises and, of each v, equal u stand together."""
+    order, new = K.gathered(v)
+    bits = max(1, int(len(new)).bit_length())
+    rank = np.repeat(np.arange(len(new), dtype=U), np.diff(new, append=len(order)))
+    mine = u[order]
+    both = (rank << U(64 - bits)) | (mine >> U(max(0, bits - 16)))  # a word is 48 bits
+    again = np.argsort(both)
+    both, mine = both[again], mine[again]
+    if ((both[1:] == both[:-1]) & (mine[1:] != mine[:-1])).any():  # words that differ only in the bits left off
+        return np.lexsort((u, v))
+    return order[again]
+
+
 def _less(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c - d[np.minimum(c, 3).astype(np.int64) - 1]
 
@@ -133,23 +158,27 @@ def _mass(c: np.ndarray, begin: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
     return total, np.add.reduceat(d[np.minimum(c, 3).astype(np.int64) - 1], begin) / total
 
 
-def _marked(blocks: S.Blocks, ids: DataFrame) -> Broadcast:
-    """For each block a bit for each of its documents that ids holds; the caller has checked how many documents there are."""
+def _marked(blocks: S.Blocks, ids: DataFrame) -> tuple[Broadcast, int]:
+    """For each block a bit for each of its documents that ids holds, and the bytes of all texts; the caller has checked how many documents there are."""
 
     def numbered(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             own = np.frombuffer(r["ids"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"], np.int64)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], names=["block", "at", "doc_id"])
+            size = np.diff(np.frombuffer(r["offs"], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"], np.int64)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own), pa.array(size)], names=["block", "at", "doc_id", "size"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             bits = np.zeros(r["n"], bool)
             bits[r["at"]] = True
-            yield S.batch([("block", pa.int64()), ("bits", pa.binary())], [(r["block"], K.blob(np.packbits(bits)))])
+            yield S.batch([("block", pa.int64()), ("bits", pa.binary()), ("size", pa.int64())], [(r["block"], K.blob(np.packbits(bits)), r["size"])])
 
     wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("chosen")).distinct()
-    found = blocks.map(numbered, "block long, at int, doc_id long").join(wanted, "doc_id", "left").groupBy("block").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("chosen"), F.col("at"))).alias("at"))
-    return ids.sparkSession.sparkContext.broadcast({r.block: bytes(r.bits) for r in found.mapInArrow(pack, "block long, bits binary").collect()})
+    found = blocks.map(numbered, "block long, at int, doc_id long, size long").join(wanted, "doc_id", "left").groupBy("block").agg(
+        F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("chosen"), F.col("at"))).alias("at"), F.sum("size").alias("size")
+    )
+    rows = found.mapInArrow(pack, "block long, bits binary, size long").collect()
+    return ids.sparkSession.sparkContext.broadcast({r.block: bytes(r.bits) for r in rows}), sum(r.size for r in rows)
 
 
 def _part(r: dict, chosen: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +204,17 @@ def _trigrams(blocks: S.Blocks, shards: int, turn: int, chosen: Broadcast | None
                 continue
             u, v, w = (np.concatenate(x) for x in zip(*own, strict=True))
             uv = K.follow(u, v)
-            _, at, c = np.unique(K.follow(uv, w), return_index=True, return_counts=True)
+            order, new = K.gathered(K.follow(uv, w))
+            at, c = order[new], np.diff(new, append=len(order))
             yield _rows("part u v w c", *((s, squeeze(u[at[own]]), squeeze(v[at[own]]), squeeze(w[at[own]]), squeeze(c[own])) for s, own in _parts(uv[at], shards)))
 
     def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         if rows := list(rows):
             u, v, w, c = (_joined(rows, x) for x in "uvwc")
             rows.clear()
-            _, at, inverse = np.unique(K.follow(K.follow(u, v), w), return_index=True, return_inverse=True)
-            c = np.bincount(inverse, c).astype(U)
-            order = np.lexsort((w[at], u[at], v[at]))
+            order, new = K.gathered(K.follow(K.follow(u, v), w))
+            at, c = order[new], _sums(c[order], new)
+            order = _by_both(v[at], u[at])
             u, v, w, c = u[at[order]], v[at[order]], w[at[order]], c[order]
             uv = K.changes(v, u)
             vs = K.changes(v[uv])
@@ -203,11 +233,12 @@ def _bigrams(trigrams: DataFrame, shards: int) -> DataFrame:
     """In how many ways each bigram is preceded, where v belongs: v (rising), bigrams of each, w, c."""
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             v, _, _, many, w, _ = _opened(r)
             v = np.repeat(v, many)
-            _, at, c = np.unique(K.follow(v, w), return_index=True, return_counts=True)
-            at, c = at[order := np.argsort(v[at], kind="stable")], c[order]
+            order, new = K.gathered(K.follow(v, w))
+            at, c = order[new], np.diff(new, append=len(order))
+            at, c = at[order := np.argsort(v[at])], c[order]
             yield _rows("part v w c", *((s, squeeze(v[at[own]], True), squeeze(w[at[own]]), squeeze(c[own])) for s, own in _parts(K.mix(v[at]), shards)))
 
     def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +249,9 @@ def _bigrams(trigrams: DataFrame, shards: int) -> DataFrame:
                 x.append(loosen(r[name], name == "v"))
         if v:
             v, w, c = map(np.concatenate, (v, w, c))
-            _, at, inverse = np.unique(K.follow(v, w), return_index=True, return_inverse=True)
-            c = np.bincount(inverse, c).astype(U)
-            order = np.lexsort((w[at], v[at]))
+            order, new = K.gathered(K.follow(v, w))
+            at, c = order[new], _sums(c[order], new)
+            order = np.argsort(v[at])
             v, w, c = v[at[order]], w[at[order]], c[order]
             vs = K.changes(v)
             yield _rows("part v nv w c n", (part, squeeze(v[vs], True), squeeze(np.diff(vs, append=len(v))), squeeze(w), squeeze(c), _often(c)))
@@ -232,15 +263,16 @@ def _words(bigrams: DataFrame, shards: int) -> DataFrame:
     """In how many ways each word is preceded."""
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             w, c = np.unique(loosen(r["w"]), return_counts=True)
             yield _rows("part w c", *((s, squeeze(w[at], True), squeeze(c[at])) for s, at in _parts(K.mix(w), shards)))
 
     def count(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         if rows := list(rows):
-            w, inverse = np.unique(_joined(rows, "w", True), return_inverse=True)
-            c = np.bincount(inverse, _joined(rows, "c")).astype(U)
-            yield _rows("part w c n", (rows[0]["part"], squeeze(w, True), squeeze(c), _often(c)))
+            w = _joined(rows, "w", True)
+            order, new = K.gathered(w)
+            c = _sums(_joined(rows, "c")[order], new)
+            yield _rows("part w c n", (rows[0]["part"], squeeze(w[order[new]], True), squeeze(c), _often(c)))
 
     return _reduce(bigrams.mapInArrow(deal_out, _schema("part w c")), shards, count, "part w c n")
 
@@ -252,7 +284,7 @@ def _probable(bigrams: DataFrame, single: DataFrame, shards: int, p1, d2: np.nda
     """The rows of bigrams, with P(w) and P(w | v) of each bigram and the share that v leaves, as negative logarithms in 1 / SCALE bit: words ask for their probability where they belong."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             w = np.unique(loosen(r["w"]))
             yield _rows("part back w p", *((s, r["part"], squeeze(w[at], True), None) for s, at in _parts(K.mix(w), shards)))
 
@@ -275,7 +307,7 @@ def _probable(bigrams: DataFrame, single: DataFrame, shards: int, p1, d2: np.nda
         if own:
             w, p, mine = np.concatenate(w), np.concatenate(p), loosen(own["w"])
             order = np.argsort(w)
-            low = p[order][np.searchsorted(w[order], mine)].astype(float)
+            low = p[order][K.find(w[order], mine)].astype(float)
             many = loosen(own["nv"]).astype(np.int64)
             c, begin = loosen(own["c"]), np.cumsum(many) - many
             total, left = _mass(c, begin, d2)
@@ -319,7 +351,7 @@ def _gather(rows: DataFrame, shards: int) -> DataFrame:
             by.setdefault(r["kind"], []).append(r)
         for kind, own in by.items():
             keys, bits = _joined(own, "keys", True), _joined(own, "bits")
-            order = np.argsort(keys, kind="stable")  # rising runs, which are merged
+            order = np.argsort(keys)
             keys, bits = keys[order], bits[order]
             turns = keys.astype(np.uint16) % np.uint16(PASSES)
             for turn in range(PASSES):
@@ -332,14 +364,14 @@ def _low_weights(probable: DataFrame, single: DataFrame, shards: int, p1, unseen
     """Weights of words and bigrams, and of words as contexts."""
 
     def of_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             v, many = loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)
             low, p, left = (loosen(r[x]).astype(np.int64) for x in ("low", "p", "left"))
             step = np.maximum(low + np.repeat(left, many) - p, 0)
             yield _rows(_WEIGHTS, *_dealt(UNI_CONTEXT, K.mix(v), left, shards), *_dealt(BI, K.follow(np.repeat(v, many), loosen(r["w"])), step, shards))
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             yield _rows(_WEIGHTS, *_dealt(UNI, K.mix(loosen(r["w"], True)), _bits(np.log2(p1(loosen(r["c"]))) - np.log2(unseen)), shards))
 
     return _gather(probable.mapInArrow(of_bigrams, _schema(_WEIGHTS)).unionByName(single.mapInArrow(of_words, _schema(_WEIGHTS))), shards)
@@ -350,7 +382,7 @@ def _high_weights(trigrams: DataFrame, probable: DataFrame, shards: int, turn: i
     names = "part back v nv u nu w c p"
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             v, many = loosen(r["v"], True), loosen(r["nv"]).astype(np.int64)
             u, size, w, c = loosen(r["u"]), loosen(r["nu"]).astype(np.int64), loosen(r["w"]), loosen(r["c"])
             at, begin = np.cumsum(many) - many, np.cumsum(size) - size
@@ -380,7 +412,7 @@ def _high_weights(trigrams: DataFrame, probable: DataFrame, shards: int, turn: i
                 continue
             v, u, begin, many, w, c = _opened(r)
             total, left = _mass(c, begin, d3)
-            low = p2[np.searchsorted(keys, K.follow(np.repeat(v, many), w))]
+            low = p2[K.find(keys, K.follow(np.repeat(v, many), w))]
             p = _less(c, d3) / np.repeat(total, many) + np.repeat(left, many) * low
             uv = K.follow(u, v)
             held.append((uv, _bits(-np.log2(left)), K.follow(np.repeat(uv, many), w), _bits(np.log2(p) - np.log2(low) - np.repeat(np.log2(left), many))))
@@ -404,11 +436,10 @@ class Model:
     unseen: float
 
 
-def train(trusted: DataFrame | S.Blocks, ids: DataFrame | None = None, shards: int | None = None) -> Model:
-    """An interpolated modified Kneser-Ney model of trigrams, of all documents or those that ids holds; lower orders count how many different words stand before."""
-    blocks = trusted if isinstance(trusted, S.Blocks) else S.blocks(trusted)
+def train(trusted: DataFrame | S.Blocks, chosen: Broadcast | None = None, shards: int | None = None) -> Model:
+    """An interpolated modified Kneser-Ney model of trigrams, of all documents or those that are marked as chosen; lower orders count how many different words stand before."""
+    blocks = trusted if isinstance(trusted, S.Blocks) else S.blocks(trusted, every=EVERY)
     shards = shards or S.parts(blocks.rows.sparkSession)
-    chosen = None if ids is None else _marked(blocks, ids)
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
     counted = [S.cut(_trigrams(blocks, shards, i, chosen)) for i in range(TURNS)]
     trigrams = union(counted)
@@ -429,42 +460,96 @@ def train(trusted: DataFrame | S.Blocks, ids: DataFrame | None = None, shards: i
     return Model(union(weights), shards, often[5], unseen)
 
 
-def _grams(w: np.ndarray, first: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Keys and documents of words, bigrams and trigrams; a document's number is doubled, and one more for the n-gram that ends it and so is no context.
+def _asked(raw: np.ndarray, off: np.ndarray, turn: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many words each document has, and keys and documents of the n-grams of this turn: words, bigrams, trigrams.
 
-    Each word and bigram counts as predicted and as a context; the start is added as a context that nothing predicts.
+    A document's number is doubled, and one more for the n-gram that ends it and so is no context. Each word and bigram counts as
+    predicted and as a context; the start is added as a context that nothing predicts.
     """
-    size = np.diff(first)
-    some = np.flatnonzero(size)
-    begin, n = first[:-1][some], len(some)
-    doc = np.repeat(2 * np.arange(len(size)), size)
     bos = np.array([_BOS])
     start, pair = K.mix(bos), K.follow(bos, bos)
-    v = np.empty_like(w)
-    v[1:], v[begin] = w[:-1], _BOS
-    vw = K.follow(v, w)
-    uv = v
-    uv[1:], uv[begin] = vw[:-1], pair  # the bigram before is the context of the next trigram
-    ends = doc.copy()
-    ends[first[1:][some] - 1] += 1
-    low = np.concatenate([ends, 2 * some])
-    return (np.concatenate([K.mix(w), np.repeat(start, n)]), low), (np.concatenate([vw, np.repeat(pair, n)]), low), (K.follow(uv, w), doc)
+    size, by = [np.zeros(0, np.int64)], [([np.zeros(0, U)], [np.zeros(0, U)]) for _ in range(3)]
 
+    def take(kind: int, keys: np.ndarray, docs: np.ndarray) -> None:
+        mine = np.flatnonzero(_turn(keys, PASSES) == turn)
+        by[kind][0].append(keys[mine])
+        by[kind][1].append(docs[mine])
 
-def _asked(raw: np.ndarray, off: np.ndarray, turn: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """How many words each document has, and keys and documents, as _grams tells them, of the n-grams of this turn, by kind."""
-    size, by = [np.zeros(0, np.int64)], [([np.zeros(0, U)], [np.zeros(0, np.int64)]) for _ in _COUNTS]
     for a, w, first in words(raw, off):
-        size.append(np.diff(first))
-        for (keys, docs), (all_keys, all_docs) in zip(_grams(w, first), by, strict=True):
-            mine = np.flatnonzero(_turn(keys, PASSES) == turn)
-            all_keys.append(keys[mine])
-            all_docs.append(docs[mine] + 2 * a)
+        many = np.diff(first)
+        size.append(many)
+        some = np.flatnonzero(many)
+        begin = first[:-1][some]
+        doc = np.repeat(np.arange(2 * a, 2 * (a + len(many)), 2, dtype=U), many)
+        v = np.empty_like(w)
+        v[1:], v[begin] = w[:-1], _BOS
+        vw = K.follow(v, w)
+        uv = v
+        uv[1:], uv[begin] = vw[:-1], pair  # the bigram before is the context of the next trigram
+        take(TRIGRAMS, K.follow(uv, w), doc)
+        doc[first[1:][some] - 1] += U(1)
+        take(BIGRAMS, vw, doc)
+        take(WORDS, K.mix(w), doc)
+    some = np.flatnonzero(np.concatenate(size))
+    for kind, key in ((WORDS, start), (BIGRAMS, pair)):
+        take(kind, np.repeat(key, len(some)), (2 * some).astype(U))
     return np.concatenate(size), [(np.concatenate(keys), np.concatenate(docs)) for keys, docs in by]
 
 
-#: Weights of words, bigrams and trigrams as predicted, and as contexts.
-_COUNTS = ((UNI, UNI_CONTEXT), (BI, BI_CONTEXT), (TRI, None))
+def _questions(grams: list[tuple[np.ndarray, np.ndarray]], most: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard the names of its n-grams (kind and 40 bits, rising), their documents (numbers below most), how many documents each has, and how often it occurs in each.
+
+    Shard, name and document are sorted as one number; where that has more than 64 bits, shards are taken in groups.
+    """
+    keys, docs = (np.concatenate(x) for x in zip(*grams, strict=True))
+    shard, below = _shard(keys, shards), U(max(1, (most - 1).bit_length()))
+    names = _names(keys >> U(24), np.repeat(np.arange(len(grams)), [len(x) for x, _ in grams]))
+    room = 1 << (22 - int(below))
+    for group in range(0, shards, room):
+        own = slice(None) if shards <= room else np.flatnonzero((shard >= group) & (shard < group + room))
+        both = ((((shard[own] - U(group)) << U(42)) | names[own]) << below) | docs[own]
+        both.sort()
+        new = K.changes(both)
+        if not len(new):
+            continue
+        times, both = np.diff(new, append=len(both)), both[new]
+        wanted, documents = both >> below, both & ((U(1) << below) - U(1))
+        first = K.changes(wanted)
+        many, wanted = np.diff(first, append=len(wanted)), wanted[first]
+        first = np.append(first, len(documents))
+        parts = wanted >> U(42)
+        wanted &= U((1 << 42) - 1)
+        cuts = np.append(K.changes(parts), len(parts))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield group + int(parts[a]), wanted[a:b], documents[first[a] : first[b]], many[a:b], times[first[a] : first[b]]
+
+
+def _names(keys: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    return keys | (np.asarray(kind).astype(U) << U(40))
+
+
+class Table:
+    """Weights of n-grams by name (rising), found by the place that a name's first bits point to: hashes are even, so a few steps from there at most."""
+
+    def __init__(self, names: np.ndarray, bits: np.ndarray) -> None:
+        self.shift = U(max(0, 40 - len(names).bit_length()))
+        begin = np.cumsum(np.bincount((names >> self.shift).astype(np.int64), minlength=4 << (40 - int(self.shift))))
+        self.begin = np.concatenate([[0], begin])
+        self.names, self.bits = np.append(names, U(1 << 42)), np.append(bits.astype(np.int64), 0)
+
+    def get(self, names: np.ndarray) -> np.ndarray:
+        """The weight of each name, 0 if there is none."""
+        at = self.begin[names >> self.shift]
+        late = np.flatnonzero(self.names[at] < names)
+        while len(late):
+            at[late] += 1
+            late = late[self.names[at[late]] < names[late]]
+        return np.where(self.names[at] == names, self.bits[at], 0)
+
+
+WORDS, BIGRAMS, TRIGRAMS = range(3)
+#: Kinds of weights of n-grams as predicted, and as contexts, with the kind of n-gram.
+_PREDICTED, _CONTEXTS = {UNI: WORDS, BI: BIGRAMS, TRI: TRIGRAMS}, {UNI_CONTEXT: WORDS, BI_CONTEXT: BIGRAMS}
 #: Rows of kind -1 hold what is known of a block's documents.
 _ASKS, _ANSWERS = "part kind block keys docs n many times ids tags size", "block sums ids tags size"
 
@@ -479,21 +564,19 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
             size, grams = _asked(raw, off, turn)
             if not turn:
                 yield _rows(_ASKS, (r["block"] % shards, -1, r["block"], None, None, None, None, None, K.blob(ids), r["tags"], K.blob(size)))
-            for kind, (keys, docs) in enumerate(grams):
-                out = []
-                for s, at in _parts(keys, shards):
-                    both = np.sort(((keys[at] >> U(24)) << U(17)) | docs[at].astype(U))  # a block has at most 2 ** 16 documents
-                    new = K.changes(both)
-                    own = both[new]
-                    key = own >> U(17)
-                    first = K.changes(key)
-                    out.append((s, kind, r["block"], squeeze(key[first], True), squeeze(own & U(0x1FFFF)), [len(off) - 1], squeeze(np.diff(first, append=len(own))), squeeze(np.diff(new, append=len(both))), None, None, None))
-                if out:
-                    yield _rows(_ASKS, *out)
+            if out := [(s, 0, r["block"], squeeze(names, True), squeeze(docs), [len(size)], squeeze(many), squeeze(times), None, None, None) for s, names, docs, many, times in _questions(grams, 2 * len(size), shards)]:
+                yield _rows(_ASKS, *out)
 
     def answer(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        predicted = contexts = None
         held: dict[int, list[dict]] = {}
+
+        def table(kinds: dict[int, int]) -> Table:
+            names = np.concatenate([np.zeros(0, U), *(_names(loosen(r["keys"], True), gram) for kind, gram in kinds.items() for r in held.get(kind, ()))])
+            bits = np.concatenate([np.zeros(0, U), *(loosen(r["docs"]) for kind in kinds for r in held.get(kind, ()))])
+            order = np.argsort(names, kind="stable")  # a few rising runs, which are merged
+            return Table(names[order], bits[order])
+
         for r in rows:
             if r["block"] is None:  # the weights come first
                 held.setdefault(r["kind"], []).append(r)
@@ -501,27 +584,21 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
             if r["kind"] < 0:
                 yield _rows(_ANSWERS, (r["block"], None, r["ids"], r["tags"], r["size"]))
                 continue
-            if held:
-                for kind, own in held.items():
-                    keys, bits = _joined(own, "keys", True), _joined(own, "docs")
-                    order = np.argsort(keys, kind="stable")  # a few rising runs, which are merged
-                    if len(keys):  # a small shard may have no n-gram of this turn
-                        tables[kind] = keys[order], bits[order].astype(np.int64)
-                held = {}
-            keys, docs, many = loosen(r["keys"], True), loosen(r["docs"]).astype(np.int64), loosen(r["many"]).astype(np.int64)
-            found = np.zeros(len(docs), np.int64)
-            for kind, each in zip(_COUNTS[r["kind"]], (1, (docs & 1) - 1), strict=True):
-                if kind in tables:
-                    have, bits = tables[kind]
-                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                    found += np.repeat(np.where(have[at] == keys, bits[at], 0), many) * each
+            if predicted is None:
+                predicted, contexts = table(_PREDICTED), table(_CONTEXTS)
+                held.clear()
+            names, docs, many = loosen(r["keys"], True), loosen(r["docs"]).astype(np.int64), loosen(r["many"]).astype(np.int64)
+            found = np.repeat(predicted.get(names), many)
+            low = int(np.searchsorted(names, U(TRIGRAMS << 40)))
+            left = np.repeat(contexts.get(names[:low]), many[:low])
+            found[: len(left)] -= left * (1 - (docs[: len(left)] & 1))
             if found.any():
                 sums = np.bincount(docs >> 1, found * loosen(r["times"]).astype(np.int64), r["n"][0]).astype(np.int64)
                 yield _rows(_ANSWERS, (r["block"], squeeze((sums << 1) ^ (sums >> 63)), None, None, None))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, np.ndarray] = {}
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             if r["sums"] is None:
                 yield _rows(_ANSWERS, (r["block"], None, r["ids"], r["tags"], r["size"]))
             else:
@@ -530,10 +607,11 @@ def _scored(blocks: S.Blocks, model: Model, turn: int) -> DataFrame:
         for block, sums in by.items():
             yield _rows(_ANSWERS, (block, K.blob(sums), None, None, None))
 
-    mine = model.weights.where(F.col("turn") == turn).select("part", "kind", F.lit(None).cast("long").alias("block"), "keys", F.col("bits").alias("docs"))
+    parts = S.parts(model.weights.sparkSession)
+    mine = model.weights.where(F.col("turn") == turn).select("part", "kind", F.lit(None).cast("long").alias("block"), "keys", F.col("bits").alias("docs")).coalesce(parts)
     asked = blocks.map(ask, _schema(_ASKS)).unionByName(mine, allowMissingColumns=True)
     answers = _reduce(asked, shards, answer, _ANSWERS, ("block",))  # nulls first
-    return answers.repartition(S.parts(model.weights.sparkSession), "block").mapInArrow(add, _schema(_ANSWERS))
+    return answers.repartition(parts, "block").mapInArrow(add, _schema(_ANSWERS))
 
 
 def perplexity(docs: DataFrame | S.Blocks, model: Model, tag: str = "lang") -> DataFrame:
@@ -542,12 +620,12 @@ def perplexity(docs: DataFrame | S.Blocks, model: Model, tag: str = "lang") -> D
     Weights are rounded to 1 / SCALE bit, so bits are off by at most 4 / SCALE a word; 40 bits of a hash name an n-gram in its
     shard, so about one in a million that the model lacks is taken for one that it has.
     """
-    blocks = docs if isinstance(docs, S.Blocks) else S.blocks(docs.select("doc_id", "text", tag), tag)
+    blocks = docs if isinstance(docs, S.Blocks) else S.blocks(docs.select("doc_id", "text", tag), tag, EVERY)
 
     per_word = -np.log2(model.unseen)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in S.rows(batches):
+        for r in S.rows(batches, EVERY):
             if r["ids"] is None:
                 raise RuntimeError("the input was cut into other blocks when it was read again")
             size = np.frombuffer(r["size"], np.int64)
@@ -571,14 +649,15 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, quantile: float = QU
     """
     ids, held_out = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
     named = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    blocks = S.blocks(named, "lang")
-    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
-    shards = max(1, -(-(size or 0) // SHARD), min(FEW, -(-(size or 0) // SMALL)))
+    blocks = S.blocks(named, "lang", EVERY)
     learnt = ids.where(~held_out)
-    if count <= 8 * MOST_BITS:
-        model = train(blocks, learnt, shards)
+    shards = lambda size: max(1, -(-(size or 0) // SHARD), min(FEW, -(-(size or 0) // SMALL)))
+    if docs.count() <= 8 * MOST_BITS:
+        chosen, size = _marked(blocks, learnt)
+        model = train(blocks, chosen, shards(size))
     else:  # a bit for each document is too much for every task
-        model = train(named.join(learnt, "doc_id", "left_semi"), None, shards)
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
+        model = train(named.join(learnt, "doc_id", "left_semi"), None, shards(size))
     scored = perplexity(blocks, model).withColumnRenamed("tag", "lang")
     held = scored.join(ids.where(held_out), "doc_id", "left_semi")
     held = held.where("n_words > 0").withColumn("each", F.round(F.col("bits") / F.col("n_words"), 4))

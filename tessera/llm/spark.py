@@ -109,17 +109,22 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def documents(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[dict]:
+def documents(batches: Iterator[pa.RecordBatch], most: int = BLOCK, every: int = 1) -> Iterator[dict]:
     """Blocks of consecutive documents of a task: block, ids, offs, raw and, if there is a third column, tags.
 
-    A block's number is a hash of its place and ids, so a block that came out otherwise would never pass for the same one.
+    A block's number is a hash of its place and ids, so a block that came out otherwise would never pass for the same one. Memory
+    is trimmed after so many blocks and at the end; what is trimmed has to be mapped again, page by page.
     """
     pid = TaskContext.get().partitionId()
+    n = -1
     for n, t in enumerate(gather(batches, most)):
         raw, off = K.utf8(t.column(1))
         ids = K.blob(t.column(0).to_numpy().astype(np.int64))
         name = hashlib.blake2b(K.blob(np.array([pid, n])) + ids + K.blob(off), digest_size=8).digest()
         yield {"block": int.from_bytes(name, "little", signed=True), "ids": ids, "offs": K.blob(off), "raw": raw, "tags": t.column(2).to_pylist() if t.num_columns > 2 else None}
+        if (n + 1) % every == 0:
+            trim()
+    if (n + 1) % every:
         trim()
 
 
@@ -130,9 +135,9 @@ def _columns(docs: DataFrame, tag: str | None) -> DataFrame:
     return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more)
 
 
-def over(docs: DataFrame, run: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str, tag: str | None = None) -> DataFrame:
+def over(docs: DataFrame, run: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str, tag: str | None = None, every: int = 1) -> DataFrame:
     """run over the blocks of docs, in the tasks that read them."""
-    return _columns(docs, tag).mapInArrow(lambda batches: run(documents(batches)), schema)
+    return _columns(docs, tag).mapInArrow(lambda batches: run(documents(batches, every=every)), schema)
 
 
 def pack(docs: DataFrame, tag: str | None = None) -> DataFrame:
@@ -149,16 +154,18 @@ def pack(docs: DataFrame, tag: str | None = None) -> DataFrame:
 
 @dataclass
 class Blocks:
-    """Blocks that come out the same each time they're read: made anew from docs if that is only a scan, else kept behind a checkpoint (docs is None)."""
+    """Blocks that come out the same each time they're read: made anew from docs if that is only a scan, else kept behind a checkpoint (docs is None). every: blocks from one trim of memory to the next."""
 
     rows: DataFrame
     docs: DataFrame | None = None
     tag: str | None = None
+    every: int = 1
 
     def map(self, run: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         if self.docs is not None:
-            return over(self.docs, run, schema, self.tag)
-        return self.rows.mapInArrow(lambda batches: run(rows(batches)), schema)
+            return over(self.docs, run, schema, self.tag, self.every)
+        every = self.every
+        return self.rows.mapInArrow(lambda batches: run(rows(batches, every)), schema)
 
 
 def scan_only(df: DataFrame) -> bool:
@@ -170,10 +177,10 @@ def scan_only(df: DataFrame) -> bool:
     return fine(df._jdf.queryExecution().optimizedPlan())
 
 
-def blocks(docs: DataFrame, tag: str | None = None) -> Blocks:
+def blocks(docs: DataFrame, tag: str | None = None, every: int = 1) -> Blocks:
     if scan_only(docs):
-        return Blocks(pack(docs, tag), docs, tag)
-    return Blocks(cut(pack(docs, tag)))
+        return Blocks(pack(docs, tag), docs, tag, every)
+    return Blocks(cut(pack(docs, tag)), every=every)
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +194,16 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], np.int64), raw, off
 
 
-def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Row by row; for rows that hold packed arrays, so one row is much work."""
+def rows(batches: Iterator[pa.RecordBatch], every: int = 1) -> Iterator[dict]:
+    """Row by row; for rows that hold packed arrays, so one row is much work. every: batches from one trim of memory to the next."""
+    seen = 0
     for b in batches:
         for i in range(b.num_rows):
             yield {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+        seen += 1
+        if seen % every == 0:
+            trim()
+    if seen % every:
         trim()
 
 

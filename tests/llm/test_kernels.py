@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,8 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import kernels as K
+from tessera.llm import op1_quality_classifier as op1
+from tessera.llm import spark as S
 from tessera.llm.fm_index import FMIndex, WaveletMatrix
 from tessera.llm.graph import forest
 from tessera.llm.packing import best_plan
@@ -96,3 +99,55 @@ def test_plans_hold_every_piece_once(histogram):
     # no packing has fewer sequences than the tokens fill, or than there are pieces of which no two fit together
     least = max(-(-sum(a * b for a, b in histogram.items()) // 64), sum(c for n, c in histogram.items() if n > 32))
     assert len(fill) <= least * 1.5 + 1
+
+
+def test_gathered_and_find():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 200, 1000).astype(np.uint64) << np.uint64(50)
+    order, begin = K.gathered(x)
+    values, counts = np.unique(x, return_counts=True)
+    assert (x[order[begin]] == values).all() and (np.diff(begin, append=len(x)) == counts).all()
+    assert (K.find(values, x) == np.searchsorted(values, x)).all()
+    assert [len(a) for a in K.gathered(x[:0])] == [0, 0] and not len(K.find(values, x[:0]))
+
+
+def test_contexts_stand_together():
+    """Words that differ only in bits that the sorted number has no room for, too."""
+    rng = np.random.default_rng(6)
+    many = np.arange(1 << 17, dtype=np.uint64)
+    v, u = np.concatenate([many, rng.integers(0, 9, 500).astype(np.uint64)]), np.concatenate([many, rng.integers(0, 5, 500).astype(np.uint64)])
+    order = op1._by_both(v, u)
+    assert (np.diff(v[order].astype(np.int64)) >= 0).all() and len(K.changes(v[order], u[order])) == len(set(zip(v.tolist(), u.tolist(), strict=True)))
+
+
+def test_one_question_a_shard():
+    """A block asks each shard once for n-grams of all kinds, whatever the number of shards; names, documents and counts are whole."""
+    rng = np.random.default_rng(7)
+    for most, shards in ((50, 3), (1 << 17, 300)):
+        grams = [(rng.integers(0, 1 << 62, 400).astype(np.uint64)[rng.integers(0, 400, 900)], rng.integers(0, most, 900).astype(np.uint64)) for _ in range(3)]
+        want = Counter((int(k >> 20) % shards, kind << 40 | int(k) >> 24, int(d)) for kind, (keys, docs) in enumerate(grams) for k, d in zip(keys.tolist(), docs.tolist(), strict=True))
+        got, asked = Counter(), Counter()
+        for s, names, docs, many, times in op1._questions(grams, most, shards):
+            asked[s] += 1
+            assert (np.diff(names.astype(np.int64)) > 0).all()
+            for name, doc, n in zip(np.repeat(names, many).tolist(), docs.tolist(), times.tolist(), strict=True):
+                got[s, name, doc] += n
+        assert got == want and set(asked.values()) == {1}
+
+
+def test_table_of_weights():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5000):
+        names = np.unique(op1._names(rng.integers(0, 1 << 40, n).astype(np.uint64), rng.integers(0, 3, n)))
+        table = op1.Table(names, np.arange(1, len(names) + 1))
+        known = dict(zip(names.tolist(), range(1, len(names) + 1), strict=True))
+        asked = np.concatenate([names, names + np.uint64(1), rng.integers(0, 3 << 40, 500).astype(np.uint64), np.array([0, (3 << 40) - 1], np.uint64)])
+        assert table.get(asked).tolist() == [known.get(x, 0) for x in asked.tolist()]
+
+
+def test_memory_is_trimmed_after_several_batches(monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "trim", lambda: seen.append(1))
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(10)]
+    assert [r["x"] for r in S.rows(iter(batches), 8)] == list(range(10)) and len(seen) == 2
+    assert len(list(S.rows(iter(batches)))) == 10 and len(seen) == 12
