@@ -48,3 +48,18 @@ def test_contract(spark):
 def test_collisions_need_no_product(spark, sf_dir):
     plan = registry.QUERIES["prefix_collisions"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_quality_gate_ladder_differs_at_ties_only(spark, tmp_path):
+    """On a larger table only means may differ from the SQL's, by rounding, where the exact mean is a tie: the order in which doubles are added decides there."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (event_id + i * 10000 AS event_id, user_id + i * 150 AS user_id) FROM '/root/testdata/sf0.01/events.parquet', range(30) t(i)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = {r[0]: r for r in con.sql(registry.SQL["quality_gate_ladder"]).fetchall()}
+    exact = {r[:2]: r[2:] for r in con.sql("SELECT user_id, CAST(event_id % 3 AS INT), CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT), count(*) FROM events GROUP BY 1, 2").fetchall()}
+    rows = registry.QUERIES["quality_gate_ladder"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) == 4500
+    for r in rows:
+        other, (total, n) = want[r.user_id], exact[r.user_id, r.step]
+        assert (r.user_id, r.step, r.frames, r.p5, r.outcome) == (*other[:3], *other[4:])
+        assert r["mean"] == other[3] or (total * 20_000 % n == 0 and total * 10_000 % n and abs(r["mean"] - other[3]) < 1.1e-6)
